@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pagemill.sources.shared import write_through
 
 #: Independent pivot sets; pivots a vector is ordered by; of which triples among the first so many are posted.
-TABLES, ORDER, POSTED = 4, 10, 5
+TABLES, ORDER, POSTED = 4, 10, 4
 #: Pivots of one set: this times the cube root of the number of vectors, within these bounds.
-PIVOT_FACTOR, PIVOTS_LEAST, PIVOTS_MOST = 1.6, 16, 2048
+PIVOT_FACTOR, PIVOTS_LEAST, PIVOTS_MOST = 8.4, 16, 4096
 #: Footrule distance (0 to 1) up to which a candidate is reranked.
 FOOTRULE = 0.62
+#: Pivots that two orders must share before their footrule distance is worked out (fewer can't come below FOOTRULE).
+SHARED = 4
 #: Neighbours of a vector.
 K = 5
 
@@ -136,7 +138,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9, tables: int = TABLES,
     posted = posted.select("model", "id", F.explode("place").alias("place"), "pivots")
     a = posted.select("model", "place", F.col("id").alias("a"), F.col("pivots").alias("pa"))
     b = posted.select("model", "place", F.col("id").alias("b"), F.col("pivots").alias("pb"))
-    met = a.join(b, ["model", "place"]).where("a < b").select("a", "b", "pa", "pb")
+    met = a.join(b, ["model", "place"]).where((F.col("a") < F.col("b")) & (F.size(F.array_intersect("pa", "pb")) >= F.least(F.lit(SHARED), F.size("pa")))).select("a", "b", "pa", "pb")
     near = met.mapInPandas(_close(limit), "a long, b long").distinct()
     va = distinct.select(F.col("id").alias("a"), F.col("v").alias("va"))
     vb = distinct.select(F.col("id").alias("b"), F.col("v").alias("vb"))

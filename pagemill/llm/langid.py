@@ -12,7 +12,9 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +32,13 @@ SPELLINGS = {
     "mr": "mr", "mar": "mr", "marathi": "mr", "मराठी": "mr",
 }
 #: Pages read to train the profiles (those with the smallest hash of their key), and n-grams of a profile.
-FIT_SAMPLE, PROFILE = 3000, 400
+FIT_SAMPLE, PROFILE = 1500, 400
 #: A segment is cut after so many words at the latest; a passage of another language has at least so many words.
 SEGMENT_WORDS, PASSAGE_WORDS = 24, 10
 #: Words of the other script in a row that begin a new segment.
 SCRIPT_RUN = 3
 
-_TOKEN = re.compile(r"\S+")
+_COUNT = itemgetter(1)
 _END = re.compile(r"[।॥.?!]+[\"'”’)\]]*$")
 _BENG, _DEVA, _LATN = re.compile("[ঀ-৿]"), re.compile("[ऀ-ॣॐ-ॿ]"), re.compile("[A-Za-zÀ-ɏ]")
 _LETTERS = re.compile(r"[^\d\W_]|[\u0900-\u0963\u0980-\u09e3]|['’]")
@@ -106,17 +108,9 @@ def segments(text: str) -> list[tuple[str, list[str]]]:
 
 
 def ranked(words: list[str], most: int) -> list[str]:
-    """The most frequent n-grams, most frequent first; equal counts in order of the n-gram."""
-    counts = Counter(chain.from_iterable(_words(w)[2] for w in words))
-    if len(counts) > most:
-        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
-    return sorted(counts, key=lambda g: (-counts[g], g))
-
-
-def out_of_place(grams: list[str], profile: dict[str, int]) -> float:
-    """Mean distance between an n-gram's rank here and in the profile; one that the profile lacks counts as PROFILE. 0 to 1."""
-    get = profile.get
-    return sum(PROFILE if (r := get(g)) is None else abs(r - i) if abs(r - i) < PROFILE else PROFILE for i, g in enumerate(grams)) / (max(len(grams), 1) * PROFILE)
+    """The most frequent n-grams, most frequent first; equal counts in order of appearance."""
+    counts = Counter(chain.from_iterable([_words(w)[2] for w in words]))
+    return [g for g, _ in sorted(counts.items(), key=_COUNT, reverse=True)[:most]]
 
 
 class Profiles:
@@ -124,19 +118,34 @@ class Profiles:
 
     def __init__(self, by_script: dict[str, dict[str, dict[str, int]]]):
         self.by_script = by_script
+        self.tables = {}
+        for script, profiles in by_script.items():
+            langs = sorted(profiles)
+            index = {g: i for i, g in enumerate(sorted({g for p in profiles.values() for g in p}))}
+            ranks = np.full((len(langs), len(index) + 1), 4 * PROFILE, dtype="i4")  # what a profile lacks is further than any rank
+            for k, lang in enumerate(langs):
+                for g, r in profiles[lang].items():
+                    ranks[k, index[g]] = r
+            self.tables[script] = langs, index, ranks
 
     def identify(self, script: str, words: list[str]) -> tuple[str, float, float]:
-        """(language, confidence, distance). The confidence is the lead over the next language of the script, 0 to 1."""
-        profiles = self.by_script.get(script)
-        if not profiles:
+        """(language, confidence, distance) by the out-of-place distance: the mean difference between an n-gram's rank here and in the profile, at most
+        PROFILE for each, scaled to 0 to 1. The confidence is the lead over the next language of the script."""
+        if script not in self.tables:
             return "", 0.0, 1.0
+        langs, index, ranks = self.tables[script]
         grams = ranked(words, PROFILE)
         if not grams:
             return "", 0.0, 1.0
-        scored = sorted((out_of_place(grams, p), lang) for lang, p in profiles.items())
-        best, lang = scored[0]
-        lead = (scored[1][0] - best) / scored[1][0] if len(scored) > 1 and scored[1][0] > 0 else 1.0
-        return lang, lead, best
+        get, lacking = index.get, len(index)
+        at = np.array([get(g, lacking) for g in grams])
+        distance = np.minimum(np.abs(ranks[:, at] - np.arange(len(at), dtype="i4")), PROFILE).sum(1) / (len(at) * PROFILE)
+        order = distance.argsort(kind="stable")
+        best = float(distance[order[0]])
+        if len(langs) == 1:
+            return langs[0], 1.0, best
+        second = float(distance[order[1]])
+        return langs[order[0]], (second - best) / second if second > 0 else 0.0, best
 
 
 def train(texts: list[tuple[str, str | None]], common: dict[str, set[str]]) -> Profiles:
@@ -171,10 +180,8 @@ def train(texts: list[tuple[str, str | None]], common: dict[str, set[str]]) -> P
     for (script, lang), c in counts.items():
         by_script[script][lang] = {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:PROFILE])}
     for script, c in loose.items():
-        native = {lang for (s, lang) in counts if s == script}
-        votes = [(n, lang) for lang, n in claims[script].items() if lang not in native]
-        if votes and sum(claims[script].values()) >= 0.02 * scripts[script]:
-            lang = max(votes)[1]
+        lang = max(claims[script].items(), key=lambda x: (x[1], x[0]), default=("", 0))[0]
+        if lang and (script, lang) not in counts and sum(claims[script].values()) >= 0.02 * scripts[script]:
             by_script[script][lang] = {g: i for i, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:PROFILE])}
     return Profiles(dict(by_script))
 
@@ -182,7 +189,7 @@ def train(texts: list[tuple[str, str | None]], common: dict[str, set[str]]) -> P
 #: A page whose words are further than this from every profile is tested for being junk.
 STRANGE = 0.62
 #: The lead that a segment needs to differ from the segments around it.
-SURE = 0.02
+SURE = 0.08
 
 
 def passages(text: str, profiles: Profiles, common: frozenset[str]) -> list[tuple[str, int, float]]:
