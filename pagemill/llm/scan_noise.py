@@ -45,7 +45,7 @@ def nfc(text: str) -> str:
 def core(token: str) -> str:
     """The token without punctuation around it; empty when no letter is left."""
     bare = token.strip(_EDGE)
-    return bare if _LETTER.search(bare) or any("ऀ" <= c <= "৿" and not c.isdigit() for c in bare) else ""
+    return bare if _LETTER.search(bare) or any("ऀ" <= c <= "৿" and c not in "।॥" and not c.isdigit() for c in bare) else ""
 
 
 def line_key(line: str) -> str:
@@ -292,7 +292,8 @@ def gold_labels(lines: list[str], filled: list[int], gold: str) -> list[str]:
         elif _PAGENO.match(lines[i].strip()):
             out.append("pageno")
         else:
-            out.append("body" if kept >= 0.5 or len(own) > 5 or own[-1][-1] in _TERMINAL else "header")
+            pairs = [f" {a} {b} " in f" {flat} " for a, b in zip(own, own[1:])]
+            out.append("body" if len(own) > 5 or own[-1][-1] in _TERMINAL or (sum(pairs) >= 0.34 * len(pairs) if pairs else kept == 1) else "header")
     return out
 
 
@@ -351,14 +352,18 @@ def read_page(raw: str, facts: dict, title: str, model: LineModel) -> tuple[list
     lines = nfc(raw).split("\n")
     filled, rows = line_features(lines, facts, title)
     states = model.decode(rows)
+    for k, i in enumerate(filled):  # a page number is what looks like one
+        if (states[k] == "pageno") != (states[k] != "body" and bool(_PAGENO.match(lines[i].strip()))):
+            states[k] = "body" if states[k] == "pageno" else "pageno"
     body = [i for i, s in zip(filled, states) if s == "body"]
     broken = {}
     for a, b in zip(body, body[1:]):
         words = lines[a].split()
         last = words[-1]
-        if len(last) > 1 and last[-1] in BREAKS and core(last):
+        if len(last) > 1 and last[-1] in BREAKS:
             tail = lines[b].split()[0].rstrip(_EDGE)
-            if is_split(last[:-1].lstrip(_EDGE), tail, last[-1], facts):
+            # a number or reference is broken when its bracket is still open or the sign is no plain hyphen
+            if is_split(last[:-1].lstrip(_EDGE), tail, last[-1], facts) if core(last) else last[-1] != "-" or last.count("[") > last.count("]"):
                 broken[a] = b
     return lines, filled, states, broken
 
@@ -382,7 +387,7 @@ def findings(raw: str, facts: dict, title: str, model: LineModel) -> list[tuple[
     return out
 
 
-_VERSE = re.compile(r"(?:\s।|॥\s*[0-9০-৯०-९]*\s*॥?|,)\s*$")
+_VERSE = re.compile(r"[।॥.,;?!]\s*$")
 
 
 def repaired(raw: str, facts: dict, title: str, model: LineModel) -> str:
@@ -403,7 +408,7 @@ def repaired(raw: str, facts: dict, title: str, model: LineModel) -> str:
         blocks[-1].append(i)
     paragraphs = []
     for block in blocks:
-        verse = sum(bool(_VERSE.search(lines[i])) for i in block) >= max(2, 0.45 * len(block))
+        verse = len(block) > 1 and sum(bool(_VERSE.search(lines[i])) for i in block[:-1]) >= 0.6 * (len(block) - 1)
         text = ""
         for i in block:
             words = lines[i].split()
@@ -413,7 +418,7 @@ def repaired(raw: str, facts: dict, title: str, model: LineModel) -> str:
                 line = line[:-1] + "\u0000"
             text += line + ("\n" if verse and not re.search(r"[^।॥.,;?!]$", line) else " ")
         text = text.replace("\u0000\n", "").replace("\u0000 ", "").replace("\u0000", "")
-        text = re.sub(rf"(?<=\w)([{BREAKS}])[ \n](?=\w)", "-", text)
+        text = re.sub(rf"(?<=\S)[{BREAKS}][ \n](?=\S)", "-", text)
         paragraphs.append("\n".join(" ".join(x.split()) for x in text.split("\n") if x.strip()))
     return "\n\n".join(paragraphs)
 
