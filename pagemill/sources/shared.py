@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + local
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once a Spark context, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_pagemill_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="pagemill-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{package.name}.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(f"{folder}/{package.name}.zip")
+    context._pagemill_shipped = True
+
+
 def write_through(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
