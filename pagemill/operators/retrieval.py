@@ -45,7 +45,7 @@ def upsert_points(stored: DataFrame, fresh: DataFrame, key: str = "point_id") ->
 
 
 def delete_document(points: DataFrame, document_id: str) -> DataFrame:
-    return points.where(~(F.col("document_id") <=> F.lit(document_id)))
+    return points.where(~F.col("document_id").eqNullSafe(F.lit(document_id)))
 
 
 def build_points(vectors: DataFrame, chunks: DataFrame, embeddings: DataFrame, documents: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def index_checks(vectors: DataFrame, embeddings: DataFrame, chunks: DataFrame) -
 def model_changes(embeddings: DataFrame, collection_model: str) -> DataFrame:
     """document_id, model: documents whose latest embedding is of another model than the collection; their index stage is stale."""
     last = embeddings.groupBy("document_id").agg(F.max(F.struct("created_at", "model")).alias("e")).select("document_id", "e.model")
-    return last.where(~(F.col("model") <=> F.lit(collection_model)))
+    return last.where(~F.col("model").eqNullSafe(F.lit(collection_model)))
 
 
 # --- search ----------------------------------------------------------------------------------------------

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.sources.shared import write_through
+
 #: Stages in order, statuses, and attempts after which a failed stage is no longer retried by itself. Fixed values.
 STAGES = ("extract", "ocr", "normalize", "chunk", "embed", "index")
 STATUSES = ("pending", "running", "succeeded", "failed", "skipped", "held", "stale")
@@ -94,10 +96,14 @@ def run_stage(runs: DataFrame, wanted: DataFrame, stage: Callable[[DataFrame], D
 
 
 def advance(runs: DataFrame, stage: Callable[[DataFrame], DataFrame], most: int = len(STAGES)) -> DataFrame:
-    """Run each document's next stage until nothing moves, at most once a stage: one pass per level over all documents, not a loop over documents."""
+    """Run each document's next stage until nothing moves, at most once a stage: one pass per level over all documents, not a loop over documents.
+
+    Each pass is written to the shared folder, so that the plan doesn't grow with the passes.
+    """
+    runs = write_through(runs, "runs")
     for _ in range(most):
-        wanted = next_runnable(runs)
-        runs = finish(start(runs, wanted), stage(wanted))
+        wanted = write_through(next_runnable(runs), "wanted")
+        runs = write_through(finish(start(runs, wanted), stage(wanted)), "runs")
     return runs
 
 
