@@ -73,7 +73,8 @@ def chunk_text(text: str | None, target: int = TARGET, limit: int = MAX_CHARS, l
         else:
             groups.append([a, b])
     if len(groups) > 1 and groups[-1][1] - groups[-1][0] < least:
-        groups[-2][1] = groups.pop()[1]
+        last = groups.pop()
+        groups[-1][1] = last[1]
     out: list[tuple[int, int, int, int]] = []
     for ordinal, (a, b) in enumerate(groups):
         body = text[a:b]

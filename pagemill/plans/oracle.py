@@ -220,7 +220,7 @@ SELECT id, {', '.join(f'round(v[{i}] / n, 6) AS v{i}' for i in (1, 2, 128, 256))
     "l2_normalize": """
 WITH v AS (SELECT DISTINCT vectors_path, row_no, dense::DOUBLE[] AS v FROM vector_rows WHERE dense IS NOT NULL),
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
-SELECT vectors_path, row_no, list_transform(v, lambda x: round(CASE WHEN n = 0 THEN x ELSE x / n END, 5)) AS unit FROM n""",
+SELECT vectors_path, row_no, list_transform(list_transform(v, lambda x: round(CASE WHEN n = 0 THEN x ELSE x / n END, 5)), lambda x: CASE WHEN x = 0 THEN 0 ELSE x END) AS unit FROM n""",
     "embed_stage": f"""
 WITH {_E}, v AS (SELECT vectors_path, count(*) AS rows, count(DISTINCT coalesce(len(dense), -1)) - max(CASE WHEN dense IS NULL THEN 1 ELSE 0 END) AS widths, max(len(dense)) AS width FROM (SELECT DISTINCT * FROM vector_rows) GROUP BY 1)
 SELECT document_id, model, rows, widths, rows = n_chunks AND widths = 1 AND width = dim AS sound FROM e JOIN v USING (vectors_path)""",
