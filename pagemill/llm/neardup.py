@@ -105,7 +105,9 @@ def _sign(size: int):
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 mins, bits = signatures([np.asarray(w, "i8") for w in part["words"]], size)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "f0": bits[:, 0], "f1": bits[:, 1], "f2": bits[:, 2], "f3": bits[:, 3], "bands": list(band_keys(mins))})
+                # kinds are never compared, so they share no shard
+                keys = band_keys(mins) ^ part["salt"].to_numpy()[:, None]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "f0": bits[:, 0], "f1": bits[:, 1], "f2": bits[:, 2], "f3": bits[:, 3], "bands": list(keys)})
 
     return run
 
@@ -125,7 +127,7 @@ def similar_classes(texts: DataFrame, least: float, size: int, least_words: int)
     words = texts.select("kind", "key", word_array(F.col("text")).alias("w")).where(F.size("w") >= n)
     classed = words.select("kind", "key", "w", F.xxhash64("kind", "w").alias("id"))
     signed = write_through(
-        classed.select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("words")).mapInPandas(
+        classed.select("id", F.xxhash64("kind").alias("salt"), F.transform("w", lambda x: F.xxhash64(x)).alias("words")).mapInPandas(
             _sign(size), "id long, f0 long, f1 long, f2 long, f3 long, bands array<long>"),
         "signatures")
     members = classed.select("id", "kind", "key")
@@ -139,10 +141,12 @@ def similar_classes(texts: DataFrame, least: float, size: int, least_words: int)
     prints = signed.select("id", "f0", "f1", "f2", "f3").dropDuplicates(["id"])
     vantage = prints.select(F.col("id").alias("lo"), *[F.col(f"f{i}").alias(f"v{i}") for i in range(4)])
     placed = shared.join(prints, "id").join(vantage, "lo").withColumn("ring", F.floor(_distance("f", "v") / RADIUS).cast("int")).select("band", "ring", "id", "f0", "f1", "f2", "f3")
+    placed = write_through(placed, "placed")
     home = placed.select("band", F.col("ring").alias("shard"), F.col("id").alias("a"), *[F.col(f"f{i}").alias(f"a{i}") for i in range(4)])
     reach = placed.select("band", F.explode(F.array(F.col("ring"), F.col("ring") - 1)).alias("shard"), "ring", F.col("id").alias("b"), *[F.col(f"f{i}").alias(f"b{i}") for i in range(4)])
     met = home.join(reach, ["band", "shard"]).where((F.col("a") != F.col("b")) & ((F.col("a") < F.col("b")) | (F.col("ring") != F.col("shard"))))
     near = met.where(_distance("a", "b") <= RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = write_through(near, "near")
 
     # the exact check; an id that two different texts share by accident is checked for either
     sets = classed.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "kind", "w").dropDuplicates(["id"])
