@@ -142,7 +142,7 @@ def lead_ins(chunks: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """id, embed_start: where each stored chunk's embed_text begins by the overlap rule, in order of the ordinals of a page."""
     w = Window.partitionBy("document_id", "page_no").orderBy("ordinal", "id")
     before = F.lag("char_start").over(w)
-    return chunks.select("id", F.coalesce(F.greatest(before, F.col("char_start") - overlap), F.col("char_start")).alias("embed_start"))
+    return chunks.select("id", F.when(before.isNull(), F.col("char_start")).otherwise(F.greatest(before, F.col("char_start") - overlap)).alias("embed_start"))
 
 
 def replace_documents(stored: DataFrame, fresh: DataFrame, key: str = "document_id") -> DataFrame:

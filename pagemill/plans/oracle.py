@@ -207,9 +207,9 @@ SELECT document_id, coalesce(chunks, 0) AS chunks, coalesce(pages_chunked, 0) AS
 WITH {_P}, {_C}, z AS (SELECT {_PAGE}, count(*) AS chunks, string_agg((char_end - char_start)::VARCHAR, ',' ORDER BY ordinal, char_end - char_start) AS sizes FROM c GROUP BY ALL)
 SELECT {_PAGE}, CAST(length(p.text) AS INTEGER) AS page_chars, chunks, sizes FROM p JOIN z USING (document_id, page_no)""",
     "lead_ins": f"""
-WITH {_C} SELECT id, coalesce(greatest(prev, char_start - 60), char_start) AS embed_start FROM (
+WITH {_C} SELECT id, CASE WHEN prev IS NULL THEN char_start ELSE greatest(prev, char_start - 60) END AS embed_start FROM (
   SELECT id, char_start, lag(char_start) OVER (PARTITION BY {_PAGE} ORDER BY ordinal, id) AS prev FROM c)
-""".replace("coalesce(greatest(prev, char_start - 60), char_start)", "CASE WHEN prev IS NULL THEN greatest(char_start - 60, char_start - 60) ELSE greatest(prev, char_start - 60) END"),
+""",
     "replace_chunks": f"WITH {_C} SELECT document_id, count(*) AS chunks FROM c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.review_required AND d.id = c.document_id) GROUP BY document_id",
     "hashed_embed": f"""
 WITH {_C}, h AS (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, filename, sha256, byte_size of the PDF files (by name, any case) under a folder. The files are hashed where they are read."""
+    """path, filename, sha256, byte_size of the PDF files (by name, any case) under a folder; empty files are no uploads. The files are hashed where they are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").like("%.pdf"))
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("byte_size"))
 

@@ -418,8 +418,8 @@ def test_uploads(spark, tmp_path):
     for name, body in {"a.pdf": b"one", "b.PDF": b"one", "c.txt": b"x", "d.pdf": b""}.items():
         (tmp_path / name).write_bytes(body)
     up = files.read_uploads(spark, str(tmp_path))
-    assert {r["filename"]: (r["sha256"], r["byte_size"]) for r in up.collect()} == {n: (hashlib.sha256(b).hexdigest(), len(b)) for n, b in {"a.pdf": b"one", "b.PDF": b"one", "d.pdf": b""}.items()}
-    stored = spark.createDataFrame([(hashlib.sha256(b"").hexdigest(),)], "sha256 string")
+    assert {r["filename"]: (r["sha256"], r["byte_size"]) for r in up.collect()} == {n: (hashlib.sha256(b).hexdigest(), len(b)) for n, b in {"a.pdf": b"one", "b.PDF": b"one"}.items()}
+    stored = spark.createDataFrame([(hashlib.sha256(b"two").hexdigest(),)], "sha256 string")
     assert [r["filename"] for r in files.new_uploads(up, stored).collect()] == ["a.pdf"]
 
 
