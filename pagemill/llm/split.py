@@ -110,7 +110,7 @@ def split_texts(texts: DataFrame, keys: list[str], limit: int = MAX_CHARS, lead_
     cut = cut.withColumn("text", body).withColumn("char_start", F.col("s") + left).where(F.length("text") > 0).withColumn("char_end", F.col("char_start") + F.length("text"))
     w = Window.partitionBy(*keys).orderBy("char_start")
     before = F.lag("char_start").over(w)
-    cut = cut.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("from", F.coalesce(F.greatest(before, F.col("char_start") - lead_in), F.col("char_start")))
+    cut = cut.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("from", F.when(before.isNull(), F.col("char_start")).otherwise(F.greatest(before, F.col("char_start") - lead_in)))
     lead = F.substring(F.col("piece"), F.col("from") - F.col("begin") + 1, F.col("char_start") - F.col("from"))
     return cut.select(*keys, "ordinal", "char_start", "char_end", "text", F.concat(lead, F.col("text")).alias("embed_text"))
 
@@ -140,7 +140,7 @@ def broken_chunks(chunks: DataFrame, pages: DataFrame, limit: int = MAX_CHARS, l
     order = Window.partitionBy("document_id", "page_no").orderBy("ordinal", "id")
     own = own.withColumn("prev", F.lag("cs").over(order)).withColumn(
         "reach", F.greatest(F.coalesce(F.max("ce").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0)))
-    own = own.withColumn("s", F.greatest(F.coalesce(F.greatest("prev", F.col("cs") - lead_in), F.col("cs")), F.lit(0)))
+    own = own.withColumn("s", F.greatest(F.when(F.col("prev").isNull(), F.col("cs")).otherwise(F.greatest("prev", F.col("cs") - lead_in)), F.lit(0)))
 
     keys = ["document_id", "page_no"]
     texts = page_texts(pages).groupBy(*keys).agg(F.min("text").alias("text"))
