@@ -207,7 +207,11 @@ def passages(text: str, profiles: Profiles, common: frozenset[str]) -> list[tupl
     for lang, lead, _, n, s in found:
         main[s][lang] += n * min(lead, 0.3)
     out: list[list] = []
+    carried = 0
     for lang, lead, _, n, s in found:
+        if n < SCRIPT_RUN and n < total:  # a few words of another script are no segment of their own
+            carried += n
+            continue
         usual = main[s].most_common(1)[0][0]
         if lang != usual and (lead < SURE or n < 4):
             lang = usual
@@ -216,6 +220,8 @@ def passages(text: str, profiles: Profiles, common: frozenset[str]) -> list[tupl
             out[-1][2] += lead * n
         else:
             out.append([lang, n, lead * n])
+    if out:
+        out[-1][1] += carried
     return [(lang, n, round(weighted / max(n, 1), 4)) for lang, n, weighted in out]
 
 

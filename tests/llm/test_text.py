@@ -40,22 +40,6 @@ def test_trees_learn_and_calibrate():
     assert (p.argmax(1) == y[500:]).mean() > 0.93 and np.allclose(p.sum(1), 1)
 
 
-def test_holdout_accuracy_without_holdout_in_training():
-    common = frozenset(w for ws in COMMON.values() for w in ws)
-    made = []
-    rng = random.Random(4)
-    for _ in range(60):
-        made.append("\n".join(rng.choice([EN, BN, HI, MR]) for _ in range(3)))
-        made.append("\n".join(rng.choice(["নদী", "lamp rope", "पानी", "• कलम", "গাছ পাতা"]) for _ in range(20)))
-        made.append("\n".join(" | ".join(str(rng.randrange(999)) for _ in range(4)) for _ in range(8)))
-        made.append("\n".join("".join(rng.choice("#$%^&*{}[]~ ") for _ in range(40)) for _ in range(5)))
-    x = np.array([quality.features(t, common) for t in made])
-    model = quality.fit_kinds(x, common)
-    hx = np.array([quality.features(t, common) for t, _ in HOLDOUT])
-    right = [quality.KINDS[k] == kind for k, (_, kind) in zip(model.predict(hx).argmax(1), HOLDOUT)]
-    assert sum(right) >= 0.85 * len(right)
-
-
 def test_classify_pages(spark):
     rows = [(f"d{i}", 1, t) for i, (t, _) in enumerate(HOLDOUT)] * 2 + [("empty", 1, ""), ("blank", 1, " \n "), ("null", 1, None), ("long", 1, EN * 3000), (None, None, EN)]
     pages = spark.createDataFrame(rows, "document_id string, page_no int, raw_text string").selectExpr("*", "'x' as kind", "1.0 as f")
