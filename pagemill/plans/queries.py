@@ -298,13 +298,13 @@ def _questions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(questions, spans, payloads) made from the chunks: each document is a question, its first chunks are the spans, and the claims quote them.
 
     The first byte of a document's sha256 decides what the generator does: 0-31 finds the spans insufficient, 32-63 makes no claim, 64-95 cites a span that wasn't given, 96-127 quotes the
-    file name instead of a span, 128-159 mixes one true and one false quote; else it quotes each span truly. Scores fall with the page.
+    file name instead of a span, 128-159 mixes one true and one false quote; else it quotes each span truly. A quote is the span's whole text. Scores fall with the page.
     """
     docs = read_table(spark, d, "documents").select(F.col("id").alias("question"), "filename", F.conv(F.substring("sha256", 1, 2), 16, 10).cast("int").alias("byte"))
     c = _chunks(spark, d).where("text is not null").select(
         F.col("document_id").alias("question"), F.col("id").alias("chunk_id"), "page_no", "char_start", "text", (1 / (F.lit(1.0) + F.col("page_no") + F.col("ordinal"))).alias("gate_score"))
     spans = A.number_spans(c)
-    given = spans.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("span_id", F.substring("text", 1, 80).alias("quote")))).alias("s"))
+    given = spans.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("span_id", F.col("text").alias("quote")))).alias("s"))
     b, s = F.col("byte"), F.col("s")
 
     def claim(span: Column, quote: Column) -> Column:
@@ -320,8 +320,8 @@ def _questions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def token_overlap(spark, d):
-    """Overlap of each chunk's first 80 characters with its page text."""
-    c = _chunks(spark, d).where("text is not null").select("id", *_KEYS, F.substring("text", 1, 80).alias("claim"))
+    """Overlap of each chunk's whole text with its page text."""
+    c = _chunks(spark, d).where("text is not null").select("id", *_KEYS, F.col("text").alias("claim"))
     p = _pages(spark, d).where("text is not null").select(*_KEYS, F.col("text").alias("span"))
     return c.join(p, _KEYS).select("id", F.size(T.claim_tokens(F.col("claim"))).cast("long").alias("tokens"), F.round(T.overlap(F.col("claim"), F.col("span")), 6).alias("overlap"))
 
