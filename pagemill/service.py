@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from itertools import chain, islice
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,10 +103,15 @@ def status_of(error: Exception) -> int:
     return 404 if isinstance(error, LookupError) else 501 if isinstance(error, NotImplementedError) else 409 if isinstance(error, RuntimeError) else 500
 
 
-def handle(service: Service, method: str, url: str, body: dict | None = None) -> tuple[int, object]:
-    """(status, answer) of one request."""
+def rows(df: DataFrame) -> Iterator[str]:
+    """All rows as JSON objects, fetched a partition at a time. The first is fetched at once, so that a query that fails does so before anything is answered."""
+    lines = df.toJSON().toLocalIterator()
+    return chain(list(islice(lines, 1)), lines)
+
+
+def respond(service: Service, method: str, url: str, body: dict | None = None) -> tuple[int, object]:
+    """(status, answer) of one request; of a table the answer is an iterator over all its rows."""
     parts, query = [p for p in urlparse(url).path.split("/") if p], parse_qs(urlparse(url).query)
-    rows = lambda df: [json.loads(x) for x in df.limit(1000).toJSON().collect()]
     try:
         match (method, parts):
             case ("GET", ["health"]):
@@ -129,16 +135,31 @@ def handle(service: Service, method: str, url: str, body: dict | None = None) ->
         return status_of(error), {"error": str(error)}
 
 
+def handle(service: Service, method: str, url: str, body: dict | None = None) -> tuple[int, object]:
+    """(status, answer) of one request, tables as lists of all rows."""
+    try:
+        status, out = respond(service, method, url, body)
+        return status, [json.loads(x) for x in out] if isinstance(out, Iterator) else out
+    except Exception as error:
+        return status_of(error), {"error": str(error)}
+
+
 def serve(service: Service, port: int = 8000) -> None:
     class Handler(BaseHTTPRequestHandler):
         def _answer(self, method: str) -> None:
             raw = self.rfile.read(int(self.headers.get("Content-Length") or 0))
-            status, out = handle(service, method, self.path, json.loads(raw) if raw else None)
-            data = json.dumps(out, ensure_ascii=False, default=str).encode()
+            status, out = respond(service, method, self.path, json.loads(raw) if raw else None)
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
             self.end_headers()
-            self.wfile.write(data)
+            if not isinstance(out, Iterator):
+                self.wfile.write(json.dumps(out, ensure_ascii=False, default=str).encode())
+                return
+            # an answer that breaks off has no closing bracket, so it can't be taken for a whole one
+            self.wfile.write(b"[")
+            for n, line in enumerate(out):
+                self.wfile.write((", " * (n > 0) + line).encode())
+            self.wfile.write(b"]")
 
         def do_GET(self) -> None:
             self._answer("GET")

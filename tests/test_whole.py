@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
-from datetime import datetime
+import socket
+import threading
+import time
+import urllib.request
+from datetime import datetime, timedelta
 
+from pagemill import service
 from pagemill.plans import queries as core
 
 AT = datetime(2024, 1, 1)
@@ -42,3 +48,28 @@ def test_quotes_are_whole_spans(spark, tmp_path):
     assert quotes == {late, "word " * 90}
     assert {(r["chunk_id"], r["quote_overlap"], r["grounded"]) for r in core.citation_check(spark, d).collect()} == {("late", 1.0, True), ("long", 1.0, True)}
     assert [(r["answered"], r["claims_grounded"]) for r in core.answer_outcome(spark, d).collect()] == [(True, 2)]
+
+
+def test_routes_answer_all_rows(spark, tmp_path):
+    n = 1203
+    rows = [(f"doc{i}", f"{i}.pdf", "f" * 64, 5, 1, "bn", True, "নোট", AT + timedelta(minutes=i)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "id string, filename string, sha256 string, byte_size long, page_count int, language string, review_required boolean, review_note string, uploaded_at timestamp")
+    s = service.Service(spark, docs.repartition(5), docs, docs, docs, docs)
+    newest_first = [f"doc{i}" for i in reversed(range(n))]
+    for route in ("/documents", "/review"):
+        status, out = service.handle(s, "GET", route)
+        assert status == 200 and [r["id"] for r in out] == newest_first
+    for i in range(n):
+        (tmp_path / f"{i}.pdf").write_text(f"file {i}")
+    status, out = service.handle(s, "POST", "/documents", {"folder": str(tmp_path)})
+    assert status == 200 and {r["filename"] for r in out} == {f"{i}.pdf" for i in range(n)}
+    assert service.handle(s, "POST", "/documents", {"folder": str(tmp_path / "none")})[0] == 500
+
+    with socket.socket() as free:
+        free.bind(("127.0.0.1", 0))
+        port = free.getsockname()[1]
+    threading.Thread(target=service.serve, args=(s, port), daemon=True).start()
+    time.sleep(1)
+    with urllib.request.urlopen(f"http://127.0.0.1:{port}/review", timeout=60) as answer:
+        out = json.loads(answer.read())
+    assert [r["id"] for r in out] == newest_first and out[0]["review_note"] == "নোট"
