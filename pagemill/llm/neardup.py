@@ -1,14 +1,15 @@
 """Problem 4: records that are edited copies of one another.
 
 Every text gets a 256-bit fingerprint whose Hamming distance estimates the Jaccard similarity of its word shingles (one bit of each
-of 256 min-hashes). Fingerprints are partitioned around vantage points: within an outer shard, the distance to the shard's
-vantage point puts a fingerprint in a ring as wide as the search radius, so by the triangle bound the partners of a ring
-are in itself or the next one; rings that overlap a boundary are sent to both sides, and pairs within the radius are
-checked exactly on their shingles.
+of 256 min-hashes). The bands of the min-hashes (shared runs of three), which an unrelated pair rarely has in common, do the
+search; pairs of a band within the radius are checked exactly on their shingles.
+
+Within a band, the distance to the band's vantage point puts a fingerprint in a ring as wide as the search radius, and rings
+that overlap a boundary are sent to both sides. With RADIUS 104 of 256 bits only rings 0 and 1 occur and all their pairs meet, so
+the rings exclude nothing: the pairs of a band grow with the square of its different texts.
 
 A vantage-point partition of the whole collection has nothing to prune at these similarities: two unrelated texts are 128
-bits apart give or take 8, partners at similarity 0.4 are 77 apart, so the ball around a query reaches into every ring. The outer
-shards are therefore the bands of the min-hashes (shared runs of three), which an unrelated pair rarely has in common.
+bits apart give or take 8, partners at similarity 0.4 are 77 apart, so the ball around a query reaches into every ring.
 
 Texts with the same words are one class from the start.
 """
