@@ -2,8 +2,10 @@
 
 A text is handled in ranges of a fixed number of code points. Workers mark the boundaries of a range (with a halo, so
 that a boundary at its edge is seen whole), the boundary tables of a text are stitched in order, a fold over offsets
-alone chooses the cuts, and pieces are cut out by offset from the range they begin in. No worker needs a whole text, and a page
-shorter than a range is simply one range.
+alone chooses the cuts, and pieces are cut out by offset from the range they begin in. A page shorter than a range is simply one range.
+
+A text is one cell of its table: it is loaded whole, each of its ranges carries it until its piece is taken, and its boundary
+table is folded in one task. Offsets are fixed strides, not prefix sums of decoded lengths.
 """
 
 from __future__ import annotations
