@@ -39,8 +39,8 @@ ROOT_LEAST = 4
 GROW_COUNT, GROW_SHARE, GROW_PURE = 4, 0.3, 0.7
 #: And with so many times the share that the subject's company has of all sentences.
 GROW_LIFT = 1.8
-#: Words of the lexicon at most (the most frequent), and hand labels read at most (those with the smallest hash).
-LEXICON_MOST, LABELS_MOST = 50_000, 20_000
+#: Words of the lexicon at most (the most frequent).
+LEXICON_MOST = 50_000
 #: A document has a subject that at least this share of its words, and so many words, belong to.
 SHARE, LEAST_WORDS = 0.25, 8
 
@@ -176,7 +176,7 @@ _ABSTAIN = 31
 
 
 def _votes(subjects: list[str], lexicon: dict[str, int], by_source: dict[str, int]):
-    """(doc_id, total, pattern, words): words of each document by the vote pattern of the passage they stand in."""
+    """(doc_id, total, pattern, words): words of each document by the vote pattern of the passage they stand in. The labels' place is left open."""
     k = len(subjects)
     chain = Chain(k)
 
@@ -185,7 +185,7 @@ def _votes(subjects: list[str], lexicon: dict[str, int], by_source: dict[str, in
         get = lexicon.get
         for pdf in batches:
             rows = []
-            for doc, text, filename, source, label in zip(pdf["doc_id"], pdf["text"], pdf["filename"], pdf["source"], pdf["label"]):
+            for doc, text, filename, source in zip(pdf["doc_id"], pdf["text"], pdf["filename"], pdf["source"]):
                 units = []
                 for paragraph in sentences(clean(text)):
                     for j, s in enumerate(paragraph):
@@ -201,7 +201,6 @@ def _votes(subjects: list[str], lexicon: dict[str, int], by_source: dict[str, in
                 named = Counter(h for w in words_of(filename or "") if (h := get(w, -1)) >= 0)
                 address = named.most_common(1)[0][0] if named else _ABSTAIN
                 origin = by_source.get(source or "", _ABSTAIN)
-                label = _ABSTAIN if label is None or label != label else int(label)
                 patterns: Counter = Counter()
                 total, at, before = 0, 0, _ABSTAIN
                 while at < len(units):
@@ -214,7 +213,7 @@ def _votes(subjects: list[str], lexicon: dict[str, int], by_source: dict[str, in
                         end += 1
                     raw = hits.most_common(1)[0][0] if hits else k
                     pattern = 0
-                    for vote in (states[at], raw, before, address, origin, label):
+                    for vote in (states[at], raw, before, address, origin, _ABSTAIN):
                         pattern = pattern << 5 | vote
                     patterns[pattern] += n
                     total, before, at = total + n, states[at], end
@@ -261,7 +260,8 @@ def document_subjects(documents: DataFrame, subject_areas: DataFrame, subject_la
     """One row per document with a non-blank text and subject it touches: doc_id, subject, words, total, share (expected share of its words, by the posterior).
 
     A document's rows with the same doc_id are one document by their longest text. Null, empty and blank texts have no rows; labels of unknown subjects
-    count as none of them; contradicting labels of a document are left out. Texts are read whole, twice, without a shuffle of texts beyond the labels' join.
+    count as none of them; contradicting labels of a document are left out. Texts are read whole, twice, and not shuffled: the labels, all of
+    them, are joined to the documents' patterns.
     """
     spark = documents.sparkSession
     subjects = [r[0] for r in subject_areas.select("subject").where("subject is not null").distinct().orderBy("subject").limit(31).collect()]
@@ -272,14 +272,16 @@ def document_subjects(documents: DataFrame, subject_areas: DataFrame, subject_la
     lexicon = grow_lexicon(docs.select("text"), subjects)
     number = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in enumerate(subjects)) for x in pair])
     labels = subject_labels.where("doc_id is not null and subject is not null").select("doc_id", F.coalesce(F.try_element_at(number, F.col("subject")), F.lit(k)).alias("s")).groupBy("doc_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    labels = labels.where("lo = hi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELS_MOST).select("doc_id", F.col("lo").alias("label"))
-    voted = docs.join(F.broadcast(labels), "doc_id", "left")  # at most LABELS_MOST rows
+    labels = labels.where("lo = hi").select("doc_id", F.col("lo").cast("long").alias("label"))
     sent = spark.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _votes(subjects, sent.value, {})(batches)
 
-    rows = write_through(voted.mapInPandas(run, "doc_id long, total long, pattern long, words long").dropDuplicates(["doc_id", "pattern"]), "votes")
+    rows = write_through(docs.mapInPandas(run, "doc_id long, total long, pattern long, words long").dropDuplicates(["doc_id", "pattern"]), "votes")
+    # the labels' place is the last of the pattern
+    pattern = F.when(F.col("label").isNull(), F.col("pattern")).otherwise(F.col("pattern").bitwiseAND(F.lit(~31).cast("long")).bitwiseOR(F.col("label")))
+    rows = rows.join(labels, "doc_id", "left").select("doc_id", "total", pattern.alias("pattern"), "words")
     # what a source is mostly about, for its vote: the lexicon's words by source
     first = F.shiftright("pattern", 5 * (len(FUNCTIONS) - 1)).bitwiseAND(31)
     by_source = documents.select("doc_id", F.lower(F.trim("source")).alias("source")).join(rows.select("doc_id", first.alias("s"), "words"), "doc_id").where((F.col("s") < k) & F.col("source").isNotNull())
