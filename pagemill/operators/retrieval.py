@@ -94,23 +94,24 @@ def knn_batch(queries: DataFrame, points: DataFrame, k: int, query_id: str, poin
     its own neighbour unless ``same``.
 
     The stated query set is broadcast in blocks of QUERY_BLOCK vectors; each task compares its points with a block by one matrix product and keeps the
-    block's best k, so only queries * k rows a task are shuffled. Null, short and wrong-width vectors take no part.
+    block's best k, so only queries * k rows a task are shuffled. The width is the most frequent one of all points (of equally frequent ones the largest); null vectors and those of
+    another width take no part.
     """
     spark = points.sparkSession
-    asked = queries.where(f"{vector} is not null").select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
+    common = points.where(f"size({vector}) > 0").groupBy(F.size(vector).alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
+    width = common[0]["width"] if common else 0
+    asked = queries.where((F.size(vector) == width) & F.lit(width > 0)).select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
     blocks: list[DataFrame] = []
     qtype, ptype = dict(asked.dtypes)["q"], dict(points.dtypes)[point_id]
     total = asked.count()
     numbered = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-total // QUERY_BLOCK)))))
     for b in range(max(1, -(-total // QUERY_BLOCK))):
         rows = numbered.where(F.col("block") == b).orderBy("q").collect()
-        width = max((len(r["v"]) for r in rows), default=0)
-        rows = [r for r in rows if len(r["v"]) == width]
         if not rows:
             continue
         sent = spark.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], dtype="f8")))
 
-        def best(batches: Iterator[pd.DataFrame], sent=sent, width=width) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             qs, m = sent.value
             keep: list[pd.DataFrame] = []
             for pdf in batches:
