@@ -186,10 +186,18 @@ def edited_copies(texts: DataFrame, least: float = 0.4, size: int = 3, least_wor
 
 
 def copy_groups(texts: DataFrame, least: float = 0.8, size: int = 5, least_words: int = 5) -> DataFrame:
-    """(kind, key, class_key, links): one row per record with its class of equal texts (named by its smallest key) and the number of different texts that
-    the class is linked to. Linear in the records however large a class is."""
+    """(kind, key, class_key, links, linked): one row per record with a text, with its class of equal texts (named by its smallest key) and the number of different texts that
+    the class is linked to. On the row of the record that names the class, linked has the class keys of those texts; on the others it is empty, so that the result
+    stays linear in records and links however large a class is. Records with fewer than ``least_words`` words have no links.
+    """
+    n = max(least_words, size)
     members, links = similar_classes(texts, least, size, least_words)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    members = members.distinct()
+    words = texts.where("text is not null").select("kind", "key", word_array(F.col("text")).alias("w"))
+    short = words.where(F.size("w") < n).select(F.xxhash64("kind", "w").alias("id"), "kind", "key")
+    members = write_through(members.unionByName(short).distinct(), "members")
     names = members.groupBy("id").agg(F.min("key").alias("class_key"))
-    return members.join(names, "id").join(degree, "id", "left").select("kind", "key", "class_key", F.coalesce("links", F.lit(0)).alias("links"))
+    either = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x")).select("x.id", "x.other")
+    linked = either.join(names.select(F.col("id").alias("other"), "class_key"), "other").groupBy("id").agg(F.count("*").alias("links"), F.array_sort(F.collect_list("class_key")).alias("linked"))
+    own = F.when(F.col("key") == F.col("class_key"), F.col("linked"))
+    return members.join(names, "id").join(linked, "id", "left").select(
+        "kind", "key", "class_key", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce(own, F.array().cast("array<string>")).alias("linked"))
