@@ -60,6 +60,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.mutual_neighbours(_vectors(spark, d)).select("chunk_a", "chunk_b")
 
 
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return knn.nearest(_vectors(spark, d))
+
+
 def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     pages, documents = read_table(spark, d, "document_pages"), read_table(spark, d, "documents")
     profiles, common = langid.fit_profiles(pages, documents, read_table(spark, d, "common_words"))

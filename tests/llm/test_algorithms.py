@@ -264,3 +264,42 @@ def test_mix(spark):
     assert again == sorted(map(tuple, got))
     none, empty = mixing.mix(docs.drop("n_tokens", "uses").limit(0), targets)
     assert none.count() == 0 and all(r["actual_share"] == 0 for r in empty.collect())
+
+
+# --- problem 6, every vector's nearest ------------------------------------------------------------------------
+
+
+def test_nearest_against_brute_force(spark):
+    x = vectors(500)
+    df = spark.createDataFrame([(f"c{i:05d}", [float(v) for v in row]) for i, row in enumerate(x)], "chunk_id string, v array<float>").selectExpr("'m' as model", "*")
+    lone = spark.createDataFrame([("other", "z", [1.0, 0.0])], "model string, chunk_id string, v array<float>")
+    rows = knn.nearest(df.unionByName(lone), share=1).collect()
+    s = np.round(x.astype("f8") @ x.T.astype("f8"), 6)
+    np.fill_diagonal(s, -2)
+    near = [[f"c{j:05d}" for j in np.argsort(-row, kind="stable")[:5]] for row in s]
+    got = {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        got.setdefault(r["chunk_id"], []).append(r["neighbour"])
+    assert "z" not in got and len(got) == len(x) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(set(got[f"c{i:05d}"]) & set(near[i])) / 5 for i in range(len(x))]) >= 0.9
+    asked = {r["chunk_id"] for r in knn.nearest(df, share=7).collect()}
+    assert 0 < len(asked) < len(x) and asked <= set(got)
+    assert knn.nearest(df.limit(0)).count() == 0
+
+
+def test_files_in_parts_give_the_same_pairs(spark):
+    x = vectors(300)
+    df = spark.createDataFrame([(f"c{i:05d}", [float(v) for v in row]) for i, row in enumerate(x)], "chunk_id string, v array<float>").selectExpr("'m' as model", "*")
+    _, index = knn.build_index(df)
+    whole, parts = (sorted(map(tuple, knn.search(index, 5, 0.9, part=n).collect())) for n in (10_000, 7))
+    assert len(whole) > 50 and whole == parts
+
+
+def test_reranking_goes_on_while_it_finds():
+    rng = np.random.RandomState(0)
+    base = rng.randn(1, 16)
+    x = knn.unit(base + 0.05 * rng.randn(200, 16))
+    orders = np.array([rng.permutation(40)[:8] for _ in range(200)])
+    ids = np.arange(200)
+    a, b, cosine = knn.nearest_in_file(ids, orders, x, ids[:3], orders[:3], x[:3], 5, 0.5, 4)
+    assert {n for n in np.bincount(a)} == {5} and min(cosine) > 0.9
