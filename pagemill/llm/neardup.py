@@ -1,12 +1,10 @@
 """Problem 4: records that are edited copies of one another.
 
 Every text gets a 256-bit fingerprint whose Hamming distance estimates the Jaccard similarity of its word shingles (one bit of each
-of 256 min-hashes). The bands of the min-hashes (shared runs of three), which an unrelated pair rarely has in common, do the
-search; pairs of a band within the radius are checked exactly on their shingles.
-
-Within a band, the distance to the band's vantage point puts a fingerprint in a ring as wide as the search radius, and rings
-that overlap a boundary are sent to both sides. With RADIUS 104 of 256 bits only rings 0 and 1 occur and all their pairs meet, so
-the rings exclude nothing: the pairs of a band grow with the square of its different texts.
+of 256 min-hashes). The outer shards are bands of the min-hashes (shared runs of three), which an unrelated pair rarely has in common. A shard of at most
+LEAF texts is a leaf whose pairs are compared. A larger one is partitioned by the Hamming distance from a vantage point: rings that no pair within the radius can
+bridge are never brought together, overlapping ones are searched with vantage-point trees, which drop branches by the triangle bound. Pairs within the radius are checked exactly on their
+shingles.
 
 A vantage-point partition of the whole collection has nothing to prune at these similarities: two unrelated texts are 128
 bits apart give or take 8, partners at similarity 0.4 are 77 apart, so the ball around a query reaches into every ring.
@@ -20,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.sources.shared import write_through
@@ -30,6 +29,8 @@ BAND_ROWS, BANDS = 3, 48
 #: Bits of a fingerprint and the search radius: similarity 0.4 is 77 bits apart on average, with a deviation of 7.3.
 BITS, RADIUS = 256, 104
 _HASHES = 256
+#: Texts of a leaf; bits of a ring around a shard's vantage point; texts of a cell (a ring, or a part of one) that a task compares with another cell.
+LEAF, RING, CELL = 64, 8, 20_000
 
 
 def word_array(text: Column) -> Column:
@@ -93,7 +94,9 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
     return key.view("i8")
 
 
-def _sign(size: int):
+def _sign(size: int, with_bands: bool):
+    """Bands (exploded: one row each) or fingerprints of texts given as id, salt and words (word hashes)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set = set()
         for pdf in batches:
@@ -106,9 +109,12 @@ def _sign(size: int):
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 mins, bits = signatures([np.asarray(w, "i8") for w in part["words"]], size)
-                # kinds are never compared, so they share no shard
-                keys = band_keys(mins) ^ part["salt"].to_numpy()[:, None]
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "f0": bits[:, 0], "f1": bits[:, 1], "f2": bits[:, 2], "f3": bits[:, 3], "bands": list(keys)})
+                if with_bands:
+                    # kinds are never compared, so they share no shard
+                    keys = band_keys(mins) ^ part["salt"].to_numpy()[:, None]
+                    yield pd.DataFrame({"band": keys.ravel(), "id": np.repeat(part["id"].to_numpy(), BANDS)})
+                else:
+                    yield pd.DataFrame({"id": part["id"].to_numpy(), "kind": part["kind"].to_numpy(), "f0": bits[:, 0], "f1": bits[:, 1], "f2": bits[:, 2], "f3": bits[:, 3], "words": list(part["words"])})
 
     return run
 
@@ -117,45 +123,128 @@ def _distance(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
 
 
+def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x (n x 4 words of 64 bits) from the row or rows y."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype="i4")
+
+
+def _compare(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(a), 256):
+        i, j = np.nonzero(hamming(x[a[at : at + 256], None, :], x[None, b, :]) <= radius)
+        yield a[at + i], b[j]
+
+
+def cross_pairs(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b) within the radius. The larger side is split at the median distance from a vantage point of its own; of the other side each half gets
+    only those that the triangle bound allows a partner there."""
+    if len(a) > len(b):
+        yield from ((j, i) for i, j in cross_pairs(x, b, a, radius, leaf))
+        return
+    if not len(a) or len(b) <= leaf:
+        if len(a):
+            yield from _compare(x, a, b, radius)
+        return
+    to_b, to_a = hamming(x[b], x[b[0]]), hamming(x[a], x[b[0]])
+    middle = np.median(to_b)
+    near = to_b <= middle
+    if near.all():
+        yield from _compare(x, a, b, radius)
+        return
+    yield from cross_pairs(x, a[to_a <= middle + radius], b[near], radius, leaf)
+    yield from cross_pairs(x, a[to_a > middle - radius], b[~near], radius, leaf)
+
+
+def tree_pairs(x: np.ndarray, rows: np.ndarray, radius: int, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius, each once, by a vantage-point tree: both halves around the median, and what lies within the radius of the boundary on its two sides."""
+    if len(rows) <= leaf:
+        yield from ((i[i < j], j[i < j]) for i, j in _compare(x, rows, rows, radius))
+        return
+    d = hamming(x[rows], x[rows[0]])
+    middle = np.median(d)
+    near = d <= middle
+    if near.all():
+        yield from ((i[i < j], j[i < j]) for i, j in _compare(x, rows, rows, radius))
+        return
+    yield from tree_pairs(x, rows[near], radius, leaf)
+    yield from tree_pairs(x, rows[~near], radius, leaf)
+    yield from cross_pairs(x, rows[near & (d > middle - radius)], rows[~near & (d <= middle + radius)], radius, leaf)
+
+
+_NEAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _tree(table: pa.Table) -> pa.Table:
+    """Near pairs of two cells, or within one."""
+    ids, left = table.column("id").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
+    x = np.stack([table.column(f"f{i}").to_numpy() for i in range(4)], 1).view("u8")
+    rows = np.arange(len(ids))
+    same = table.num_rows and table.column("c1")[0] == table.column("c2")[0]
+    found = list(tree_pairs(x, rows, RADIUS) if same else cross_pairs(x, rows[left], rows[~left], RADIUS))
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.array([], "i8") for k in (0, 1))
+    return pa.table([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], schema=_NEAR)
+
+
+def large_shards(members: DataFrame, ring: int = RING, cell: int = CELL) -> DataFrame:
+    """(a, b): pairs within RADIUS inside shards too large for a leaf. ``members`` has band, id, f0 to f3.
+
+    Each shard is cut into rings of ``ring`` bits around the fingerprint of its smallest id, rings of more than ``cell`` texts by hash as well; cells whose rings are further apart than
+    the radius never meet, and each meeting of two cells is one group of at most about twice ``cell`` texts. Nothing is dropped however large a shard is.
+    """
+    prints = [f"f{i}" for i in range(4)]
+    centre = members.groupBy("band").agg(F.min(F.struct("id", *prints)).alias("v")).select("band", *[F.col(f"v.{p}").alias(p.replace("f", "v")) for p in prints])
+    ringed = members.join(centre, "band").withColumn("ring", F.floor(_distance("f", "v") / ring).cast("int")).select("band", "ring", "id", *prints)
+    parts = ringed.groupBy("band", "ring").count().select("band", "ring", F.ceil(F.col("count") / cell).cast("int").alias("parts"))
+    placed = write_through(ringed.join(parts, ["band", "ring"]).withColumn("c", F.col("ring") * (1 << 20) + F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")).select("band", "c", "id", *prints), "cells")
+    cells = placed.select("band", "c").distinct()
+    apart = (F.shiftright("c2", 20) - F.shiftright("c1", 20)) * ring - (ring - 1)
+    meet = cells.withColumnRenamed("c", "c1").join(cells.withColumnRenamed("c", "c2"), "band").where((F.col("c1") <= F.col("c2")) & (apart <= RADIUS))
+    first = placed.join(meet.withColumn("c", F.col("c1")), ["band", "c"]).select("band", "c1", "c2", F.lit(True).alias("left"), "id", *prints)
+    second = placed.join(meet.where("c1 < c2").withColumn("c", F.col("c2")), ["band", "c"]).select("band", "c1", "c2", F.lit(False).alias("left"), "id", *prints)
+    return first.unionByName(second).groupBy("band", "c1", "c2").applyInArrow(_tree, "a long, b long")
+
+
 def similar_classes(texts: DataFrame, least: float, size: int, least_words: int) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, kind, key) puts each record in its class of equal word sequences; links (a, b, similarity) are pairs of
     different classes of one kind, a < b, with a Jaccard similarity of at least ``least`` over runs of ``size`` words.
 
     ``texts`` has kind, key and text, one row per record. Records with fewer than ``least_words`` words (null and empty texts too) have no class.
-    Equal texts are signed once a task and meet as one id in the shards.
+    Equal texts are signed once a task and meet as one id in the shards; a class is told by a 64-bit hash of its kind and words.
+
+    Of every text only its bands are shuffled (band and id); words and fingerprints move for those texts alone that share a band with another.
     """
     n = max(least_words, size)
     words = texts.select("kind", "key", word_array(F.col("text")).alias("w")).where(F.size("w") >= n)
-    classed = words.select("kind", "key", "w", F.xxhash64("kind", "w").alias("id"))
-    signed = write_through(
-        classed.select("id", F.xxhash64("kind").alias("salt"), F.transform("w", lambda x: F.xxhash64(x)).alias("words")).mapInPandas(
-            _sign(size), "id long, f0 long, f1 long, f2 long, f3 long, bands array<long>"),
-        "signatures")
+    classed = words.select("kind", "key", F.xxhash64("kind", "w").alias("id"), F.xxhash64("kind").alias("salt"), F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
     members = classed.select("id", "kind", "key")
 
-    # outer shards: only bands with two different texts go on
-    shards = signed.select("id", F.explode("bands").alias("band"))
-    by_band = Window.partitionBy("band")
-    shared = shards.withColumns({"lo": F.min("id").over(by_band), "hi": F.max("id").over(by_band)}).where("lo < hi").select("band", "id", "lo").distinct()
-
-    # rings around the shard's vantage point (the fingerprint of its smallest id)
-    prints = signed.select("id", "f0", "f1", "f2", "f3").dropDuplicates(["id"])
-    vantage = prints.select(F.col("id").alias("lo"), *[F.col(f"f{i}").alias(f"v{i}") for i in range(4)])
-    placed = shared.join(prints, "id").join(vantage, "lo").withColumn("ring", F.floor(_distance("f", "v") / RADIUS).cast("int")).select("band", "ring", "id", "f0", "f1", "f2", "f3")
-    placed = write_through(placed, "placed")
-    home = placed.select("band", F.col("ring").alias("shard"), F.col("id").alias("a"), *[F.col(f"f{i}").alias(f"a{i}") for i in range(4)])
-    reach = placed.select("band", F.explode(F.array(F.col("ring"), F.col("ring") - 1)).alias("shard"), "ring", F.col("id").alias("b"), *[F.col(f"f{i}").alias(f"b{i}") for i in range(4)])
-    met = home.join(reach, ["band", "shard"]).where((F.col("a") != F.col("b")) & ((F.col("a") < F.col("b")) | (F.col("ring") != F.col("shard"))))
-    near = met.where(_distance("a", "b") <= RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = write_through(near, "near")
-
-    # the exact check; an id that two different texts share by accident is checked for either
-    sets = classed.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "kind", "w").dropDuplicates(["id"])
-    sets = sets.select("id", "kind", shingle_array(F.col("w"), size).alias("s"))
-    left, right = sets.select(F.col("id").alias("a"), F.col("kind").alias("ka"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("kind").alias("kb"), F.col("s").alias("sb"))
-    both = near.join(left, "a").join(right, "b").where("ka = kb")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.withColumn("common", common).withColumn("similarity", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common")))
+    # outer shards: only bands with two different texts go on. A band is one of BANDS that a text has, so even one of a third of all texts is a small part of the rows
+    shards = classed.select("id", "salt", "words").mapInPandas(_sign(size, True), "band long, id long").repartition("band")
+    several = shards.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
+    shared = write_through(shards.join(several, "band", "left_semi").distinct(), "shards")
+
+    touched = shared.select("id").distinct()
+    signed = classed.join(touched, "id", "left_semi").select("id", "kind", "salt", "words").mapInPandas(
+        _sign(size, False), "id long, kind string, f0 long, f1 long, f2 long, f3 long, words array<long>")
+    signed = write_through(signed.dropDuplicates(["id"]), "signatures")
+    prints = signed.select("id", "f0", "f1", "f2", "f3")
+
+    counts = shared.groupBy("band").count()
+    leaves = shared.join(counts.where(F.col("count") <= LEAF).select("band"), "band", "left_semi")
+    leaf_pairs = leaves.withColumnRenamed("id", "a").join(leaves.withColumnRenamed("id", "b"), "band").where("a < b").select("a", "b").distinct()
+
+    def both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        """The pairs with the columns of either side, prefixed a and b."""
+        left, right = (table.select(F.col("id").alias(x), *[F.col(c).alias(x + c[1:] if c[0] == "f" else x + "_" + c) for c in columns]) for x in "ab")
+        return pairs.join(left, "a").join(right, "b")
+
+    leaf_near = both(leaf_pairs, prints, ["f0", "f1", "f2", "f3"]).where(_distance("a", "b") <= RADIUS).select("a", "b")
+    large = shared.join(counts.where(F.col("count") > LEAF).select("band"), "band", "left_semi").join(prints, "id")
+    near = write_through(leaf_near.unionByName(large_shards(large)).distinct(), "near")
+
+    # the exact check, on the shingles of each text in a near pair
+    sets = signed.join(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "kind", shingle_array(F.col("words"), size).alias("s"))
+    checked = both(near, sets, ["kind", "s"]).where("a_kind = b_kind").withColumn("common", F.size(F.array_intersect("a_s", "b_s")))
+    links = checked.withColumn("similarity", F.col("common") / (F.size("a_s") + F.size("b_s") - F.col("common")))
     return members, links.where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 

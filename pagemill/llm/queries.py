@@ -40,7 +40,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.copy_groups(neardup.records(read_table(spark, d, "document_pages"), read_table(spark, d, "chunks")))
+    return neardup.copy_groups(neardup.records(read_table(spark, d, "document_pages"), read_table(spark, d, "chunks")), 0.4, 3, 30)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
