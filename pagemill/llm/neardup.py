@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.sources.shared import write_through
@@ -217,10 +217,11 @@ def similar_classes(texts: DataFrame, least: float, size: int, least_words: int)
     classed = words.select("kind", "key", F.xxhash64("kind", "w").alias("id"), F.xxhash64("kind").alias("salt"), F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
     members = classed.select("id", "kind", "key")
 
-    # outer shards: only bands with two different texts go on. A band is one of BANDS that a text has, so even one of a third of all texts is a small part of the rows
-    shards = classed.select("id", "salt", "words").mapInPandas(_sign(size, True), "band long, id long").repartition("band")
-    several = shards.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
-    shared = write_through(shards.join(several, "band", "left_semi").distinct(), "shards")
+    # outer shards: only bands with two different texts go on. A band is one of BANDS that a text has, so even one of a third of all texts is a small part of the rows; the window spills
+    shards = classed.select("id", "salt", "words").mapInPandas(_sign(size, True), "band long, id long")
+    by_band = Window.partitionBy("band")
+    several = shards.withColumns({"lo": F.min("id").over(by_band), "hi": F.max("id").over(by_band)}).where("lo < hi").select("band", "id").distinct()
+    shared = write_through(several, "shards")
 
     touched = shared.select("id").distinct()
     signed = classed.join(touched, "id", "left_semi").select("id", "kind", "salt", "words").mapInPandas(
