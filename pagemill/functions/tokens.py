@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.script import WS, collapse_ws
-
 
 def claim_tokens(text: Column) -> Column:
     """Runs of two or more letters, digits or characters of the Bengali block, case kept."""
@@ -23,47 +25,74 @@ def overlap(claim: Column, span: Column) -> Column:
     return F.transform(both, share)[0]
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(collapse_ws(text), " "), lambda w: w != "")
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Least number of insertions, deletions and substitutions between two sequences (characters of a string, or words), however long.
+
+    Bit-parallel: a column of the table of distances is kept as the bits of two integers, so each element of ``b`` takes a few operations on integers of len(a) bits.
+    """
+    most = min(len(a), len(b))
+    lead = next((i for i in range(most) if a[i] != b[i]), most)
+    tail = next((i for i in range(most - lead) if a[-1 - i] != b[-1 - i]), most - lead)
+    a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = every, 0, len(a)  # rows where the column rises or falls by one
+    for x in b:
+        same = where.get(x, 0)
+        across = (((same & up) + up) ^ up) | same
+        rises, falls = down | (every & ~(across | up)), up & across
+        distance += bool(rises & last) - bool(falls & last)
+        rises, same = (rises << 1) | 1, same | down
+        up, down = ((falls << 1) | ~(same | rises)) & every, rises & same & every
+    return distance
+
+
+def normalized(text: str | None) -> str:
+    """NFC with white space collapsed; null as empty."""
+    return " ".join(unicodedata.normalize("NFC", text).split()) if text else ""
+
+
+def _rates(reference: str | None, hypothesis: str | None) -> tuple[float | None, float | None]:
+    r, h = normalized(reference), normalized(hypothesis)
+    if not r:
+        return None, None
+    words = r.split(" ")
+    return edit_distance(r, h) / len(r), edit_distance(words, h.split(" ") if h else []) / len(words)
 
 
-def word_levenshtein(a: Column, b: Column) -> Column:
-    """Edit distance in words. Words are mapped to single characters of the private-use planes (65,536 different words at most per
-    pair are told apart), so that the builtin code-point distance applies."""
-    wa, wb = _words(a), _words(b)
-    vocabulary = F.array_distinct(F.concat(wa, wb))
+def error_rates(reference: Column, hypothesis: Column) -> Column:
+    """struct(cer, wer): edits by the length of the reference, in characters and in words, over texts in NFC with white space collapsed; null for an empty reference; may exceed 1.
 
-    def plane(words: Column) -> Column:
-        # U+F0000 + n as a UTF-16 surrogate pair
-        def one(w: Column) -> Column:
-            n = F.array_position(vocabulary, w).cast("int") - 1
-            high = F.lit(0xDB80) + F.shiftright(n, 10)
-            low = F.lit(0xDC00) + n.bitwiseAND(1023)
-            return F.concat(F.lpad(F.hex(high), 4, "0"), F.lpad(F.hex(low), 4, "0"))
+    One Arrow batch function: the builtin distance fills a whole table of cells, this one is bit-parallel and normalises each text once.
+    """
 
-        return F.decode(F.unhex(F.array_join(F.transform(words, one), "")), "UTF-16BE")
+    @F.pandas_udf("cer double, wer double")
+    def both(r: pd.Series, h: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_rates(x, y) for x, y in zip(r, h)], columns=["cer", "wer"], dtype="float64")
 
-    return F.levenshtein(plane(wa), plane(wb))
+    return both(reference, hypothesis)
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
-    """Character error rate over texts with white space collapsed; null for an empty reference; may exceed 1."""
-    r, h = collapse_ws(reference), collapse_ws(F.coalesce(hypothesis, F.lit("")))
-    return F.when(F.length(r) > 0, F.when(r == h, F.lit(0.0)).otherwise(F.levenshtein(r, h) / F.length(r)))
+    """Character error rate; see ``error_rates``."""
+    return error_rates(reference, hypothesis)["cer"]
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
-    """Word error rate; null for a reference without words."""
-    n = F.size(_words(reference))
-    return F.when(n > 0, word_levenshtein(reference, F.coalesce(hypothesis, F.lit(""))) / n)
+    """Word error rate; see ``error_rates``."""
+    return error_rates(reference, hypothesis)["wer"]
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length over texts with white space collapsed; 1 for two empty texts."""
-    x, y = collapse_ws(F.coalesce(a, F.lit(""))), collapse_ws(F.coalesce(b, F.lit("")))
-    longest = F.greatest(F.length(x), F.length(y))
-    return F.when(x == y, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / longest)
+    """1 - edit distance / longer length over texts in NFC with white space collapsed; 1 for two empty texts, null as empty."""
 
+    @F.pandas_udf("double")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        pairs = ((normalized(p), normalized(q)) for p, q in zip(x, y))
+        return pd.Series([1 - edit_distance(p, q) / max(len(p), len(q), 1) for p, q in pairs], dtype="float64")
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    return alike(a, b)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import script as S
-from pagemill.functions.tokens import cer, similarity, wer
+from pagemill.functions.tokens import error_rates, similarity
 
 #: The engine that isn't one: it takes no part in agreement.
 BASELINE = "textlayer"
@@ -14,7 +14,8 @@ BASELINE = "textlayer"
 
 def page_scores(outputs: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     """keys, engine, cer, wer for pages with a gold text; null where the gold text is empty."""
-    return outputs.join(gold.select(*keys, "gold_text"), keys).select(*keys, "engine", cer(F.col("gold_text"), F.col("text")).alias("cer"), wer(F.col("gold_text"), F.col("text")).alias("wer"))
+    both = outputs.join(gold.select(*keys, "gold_text"), keys).select(*keys, "engine", error_rates(F.col("gold_text"), F.col("text")).alias("e"))
+    return both.select(*keys, "engine", "e.cer", "e.wer")
 
 
 def quality_signals(outputs: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,9 +27,11 @@ def quality_signals(outputs: DataFrame, keys: list[str]) -> DataFrame:
 
 def consensus(outputs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, engine_a, engine_b, similarity of each two outputs of a page (engine_a < engine_b)."""
-    a = outputs.select(*keys, F.col("engine").alias("engine_a"), F.col("text").alias("ta"))
-    b = outputs.select(*keys, F.col("engine").alias("engine_b"), F.col("text").alias("tb"))
-    return a.join(b, keys).where("engine_a < engine_b").select(*keys, "engine_a", "engine_b", similarity(F.col("ta"), F.col("tb")).alias("similarity"))
+    texts = outputs.groupBy(*keys).agg(F.collect_list(F.struct("engine", "text")).alias("own"))  # as many as there are engines
+    pair = lambda x, y: F.struct(x["engine"].alias("engine_a"), y["engine"].alias("engine_b"), x["text"].alias("ta"), y["text"].alias("tb"))
+    pairs = F.transform("own", lambda x: F.transform(F.filter("own", lambda y: y["engine"] > x["engine"]), lambda y: pair(x, y)))
+    each = texts.select(*keys, F.explode(F.flatten(pairs)).alias("p"))
+    return each.select(*keys, "p.engine_a", "p.engine_b", similarity(F.col("p.ta"), F.col("p.tb")).alias("similarity"))
 
 
 def worst_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,19 +43,27 @@ def worst_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def mean_agreement(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, engine, agreement: an engine's mean similarity to the others of the page, the baseline aside."""
     own = pairs.where((F.col("engine_a") != BASELINE) & (F.col("engine_b") != BASELINE))
-    both = own.select(*keys, F.col("engine_a").alias("engine"), "similarity").unionByName(own.select(*keys, F.col("engine_b").alias("engine"), "similarity"))
-    return both.groupBy(*keys, "engine").agg(F.avg("similarity").alias("agreement"))
+    sides = F.explode(F.array("engine_a", "engine_b")).alias("engine")
+    return own.select(*keys, sides, "similarity").groupBy(*keys, "engine").agg(F.avg("similarity").alias("agreement"))
 
 
 def ranking(signals: DataFrame, agreement: DataFrame, scores: DataFrame, seconds: DataFrame, keys: list[str]) -> DataFrame:
-    """Per engine: place, pages, and the means of its signals, agreement, error rates and seconds. By CER where a gold text exists, else by illegal
-    first signs, agreement (none counts as 0) and characters."""
+    """Per engine: place, pages, and the means of its signals, agreement, error rates and seconds.
+
+    Where any engine has a CER, those that have one are placed by it; else all by illegal first signs, agreement (none counts as 0) and characters. The baseline has no
+    place. One row per engine from here on.
+    """
     s = signals.groupBy("engine").agg(F.count("*").alias("pages"), F.avg("chars").alias("chars"), F.avg("ratio").alias("ratio"), F.avg("rate").alias("rate"), F.avg("triples").alias("triples"))
     a = agreement.groupBy("engine").agg(F.avg("agreement").alias("agreement"))
     c = scores.groupBy("engine").agg(F.avg("cer").alias("cer"), F.avg("wer").alias("wer"))
     t = seconds.groupBy("engine").agg(F.avg("seconds").alias("seconds"))
     out = s.join(a, "engine", "left").join(c, "engine", "left").join(t, "engine", "left")
-    return out.orderBy(F.col("cer").asc_nulls_last(), "rate", F.coalesce("agreement", F.lit(0.0)).desc(), F.desc("chars"), "engine")
+    ranked = F.col("engine") != BASELINE
+    scored = F.coalesce(F.max(F.when(ranked, F.col("cer").isNotNull())).over(Window.partitionBy()), F.lit(False))
+    takes_part = ranked & (~scored | F.col("cer").isNotNull())
+    order = Window.partitionBy("takes_part").orderBy("cer", "rate", F.coalesce("agreement", F.lit(0.0)).desc(), F.desc("chars"), "engine")
+    placed = out.withColumn("takes_part", takes_part).withColumn("place", F.when(F.col("takes_part"), F.row_number().over(order)))
+    return placed.drop("takes_part").orderBy(F.col("place").asc_nulls_last(), "engine")
 
 
 def high_error(scores: DataFrame) -> DataFrame:

@@ -379,10 +379,9 @@ def _outputs(spark, d) -> tuple[DataFrame, DataFrame]:
     """(outputs, gold): for each gold page its stored OCR text under the engine's name, the same text after normalising as ``normal``, and the text without its first line as ``textlayer``."""
     gold = read_table(spark, d, "gold_pages").where("gold_text is not null")
     p = _pages(spark, d).join(gold.select(*_KEYS), _KEYS, "left_semi").where("raw_text is not null")
-    raw = p.select(*_KEYS, F.lit("scan").alias("engine"), F.col("raw_text").alias("text"))
-    normal = p.select(*_KEYS, F.lit("normal").alias("engine"), F.col("text"))
-    cut = p.select(*_KEYS, F.lit("textlayer").alias("engine"), F.regexp_replace("raw_text", r"^[^\n]*\n", "").alias("text"))
-    return raw.unionByName(normal).unionByName(cut), gold
+    made = {"scan": F.col("raw_text"), "normal": F.col("text"), "textlayer": F.regexp_replace("raw_text", r"^[^\n]*\n", "")}
+    each = F.explode(F.array(*[F.struct(F.lit(engine).alias("engine"), text.alias("text")) for engine, text in made.items()])).alias("o")
+    return p.select(*_KEYS, each).select(*_KEYS, "o.engine", "o.text"), gold
 
 
 def cer_wer(spark, d):
@@ -413,7 +412,7 @@ def engine_ranking(spark, d):
     pairs = O.consensus(outputs, _KEYS)
     seconds = outputs.select("engine", F.length("text").cast("double").alias("seconds"))
     return O.ranking(O.quality_signals(outputs, _KEYS), O.mean_agreement(pairs, _KEYS), O.page_scores(outputs, gold, _KEYS), seconds, _KEYS).select(
-        "engine", "pages", *[F.round(c, 4).alias(c) for c in ("chars", "rate", "agreement", "cer", "wer")])
+        "place", "engine", "pages", *[F.round(c, 4).alias(c) for c in ("chars", "rate", "agreement", "cer", "wer")])
 
 
 def engine_means(spark, d):
