@@ -1,120 +1,228 @@
 """Problem 3: splitting long texts at natural boundaries, and checking stored chunks against their text.
 
-A text is handled in ranges of a fixed number of code points. Workers mark the boundaries of a range (with a halo, so
-that a boundary at its edge is seen whole), the boundary tables of a text are stitched in order, a fold over offsets
-alone chooses the cuts, and pieces are cut out by offset from the range they begin in. A page shorter than a range is simply one range.
+A text is handled in ranges, each with a halo on either side. A worker finds the boundaries of its range and works out, for every place where a piece could enter the range, where the
+pieces leave it again; these tables are stitched in order, which tells each range its true entry, and the pieces are then cut out range by range at their offsets. The result is that of
+one pass over the whole text, whatever the ranges. A page shorter than a range is simply one range.
 
-A text is one cell of its table: it is loaded whole, each of its ranges carries it until its piece is taken, and its boundary
-table is folded in one task. Offsets are fixed strides, not prefix sums of decoded lengths.
+``split_files`` reads giant files by byte ranges, a range at a time and never whole; offsets are the prefix sums of the ranges' decoded lengths. ``split_texts`` takes texts
+that sit in a table's cells, where a cell is loaded whole by its reader and ranges are strides of code points.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagemill.sources.shared import write_through
+
 #: Code points of a range; of a chunk at most; of a lead-in at most; below which no cut is looked for.
 RANGE, MAX_CHARS, LEAD_IN, MIN_CHARS = 65_536, 700, 60, 350
-#: Boundary tables keep the strongest boundary of each cell of so many code points.
-CELL = 16
+#: Bytes of a range of a file.
+FILE_RANGE = 1 << 20
 #: Unicode White_Space as a regex class (Java and Python).
 BLANK = r"[\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 NON_BLANK = "[^" + BLANK[1:]
 
 _BOUNDARY = re.compile(rf"(?P<p>\n{BLANK}*\n{BLANK}*)|(?P<s>[।॥৷.?!…]+[\"'”’)\]]*{BLANK}+)|(?P<l>\n{BLANK}*)|(?P<w>{BLANK}+)")
 _STRENGTH = {"p": 3, "s": 2, "l": 1, "w": 1}
+_LEADING, _EDGES = re.compile(f"{BLANK}*"), re.compile(rf"^{BLANK}+|{BLANK}+\Z")
 
 
-def boundaries(text: str, offset: int, lo: int, hi: int) -> list[int]:
-    """Boundaries of a slice that begins at ``offset``: those in [lo, hi), as offset * 4 + strength, the strongest of each cell."""
-    best: dict[int, int] = {}
+def boundaries(text: str, offset: int) -> list[list[int]]:
+    """Offsets of the boundaries of a slice that begins at ``offset``, by strength: [all, lines and words, sentences, paragraphs]."""
+    out: list[list[int]] = [[], [], [], []]
     for m in _BOUNDARY.finditer(text):
         at = offset + m.end()
-        if lo <= at < hi:
-            cell = at // CELL
-            value = _STRENGTH[m.lastgroup or "w"]
-            if value >= best.get(cell, 0) & 3:
-                best[cell] = at << 2 | value
-    return sorted(best.values())
-
-
-def choose_cuts(marks: list[int], length: int, limit: int = MAX_CHARS, least: int = MIN_CHARS) -> list[int]:
-    """Ends of the pieces. Each piece is at most ``limit`` long and ends at the last strongest boundary past ``least``, or at the limit."""
-    cuts, at, k = [], 0, 0
-    while length - at > limit:
-        best, value = at + limit, 0
-        while k < len(marks) and marks[k] >> 2 <= at:
-            k += 1
-        j = k
-        while j < len(marks) and marks[j] >> 2 <= at + limit:
-            pos, strength = marks[j] >> 2, marks[j] & 3
-            if strength > value and pos - at >= least or strength >= value and pos - at >= least or (not value and pos > at):
-                best, value = pos, strength if pos - at >= least else 0
-            j += 1
-        cuts.append(best)
-        at = best
-    cuts.append(length)
-    return cuts
+        out[0].append(at)
+        out[_STRENGTH[m.lastgroup or "w"]].append(at)
+    return out
+
+
+def next_cut(marks: list[list[int]], at: int, limit: int = MAX_CHARS, least: int = MIN_CHARS) -> int:
+    """End of the piece that begins at ``at``: the last strongest boundary from ``least`` to ``limit`` past it, else the last one before, else the limit."""
+    for strength in (3, 2, 1):
+        k = bisect_right(marks[strength], at + limit) - 1
+        if k >= 0 and marks[strength][k] >= at + least:
+            return marks[strength][k]
+    k = bisect_right(marks[0], at + least) - 1
+    return marks[0][k] if k >= 0 and marks[0][k] > at else at + limit
+
+
+def exits(marks: list[list[int]], lo: int, hi: int, length: int, limit: int, least: int) -> list[int]:
+    """Where pieces that enter a range [lo, hi) leave it, for every entry in [lo, lo + limit), as runs: entry, exit, entry, exit, ... (an entry holds until the next)."""
+    leaves: dict[int, int] = {}
+    runs: list[int] = []
+    for entry in range(lo, min(lo + limit, length)):
+        path, at = [], entry
+        while at < hi and length - at > limit and at not in leaves:
+            path.append(at)
+            at = next_cut(marks, at, limit, least)
+        out = leaves.get(at, at if at >= hi else length)
+        leaves.update(dict.fromkeys(path, out))
+        if not runs or runs[-1] != out:
+            runs += [entry, out]
+    return runs
+
+
+def stitch(ranges: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
+    """(r, entry) of the ranges (r, hi, exits) that a piece begins in, by following the exits from the text's start."""
+    out, at = [], 0
+    for r, hi, runs in sorted(ranges):
+        if at < hi:
+            out.append((r, at))
+            k = bisect_right(runs[::2], at) - 1
+            at = runs[2 * k + 1] if k >= 0 else at
+    return out
+
+
+def cut_range(piece: str, begin: int, lo: int, hi: int, entry: int, length: int, limit: int, least: int, lead_in: int) -> list[tuple[int, int, str, str]]:
+    """(char_start, char_end, text, what lies up to ``lead_in`` before it) of the pieces that begin in a range, without blanks at their ends."""
+    marks = boundaries(piece, begin)
+    out, at = [], entry
+    while at < min(hi, length):
+        end = length if length - at <= limit else next_cut(marks, at, limit, least)
+        raw = piece[at - begin : end - begin]
+        body = _EDGES.sub("", raw)
+        if body:
+            start = at + _LEADING.match(raw).end()
+            out.append((start, start + len(body), body, piece[max(start - begin - lead_in, 0) : start - begin]))
+        at = end
+    return out
+
+
+def whole_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_chars, r, lo, hi, begin, piece: texts as one range each."""
+    n, zero = F.length("text").cast("long"), F.lit(0).cast("long")
+    return texts.select(*keys, n.alias("n_chars"), F.lit(0).alias("r"), zero.alias("lo"), n.alias("hi"), zero.alias("begin"), F.col("text").alias("piece"))
 
 
 def text_ranges(texts: DataFrame, keys: list[str], range_size: int = RANGE, halo: int = 1) -> DataFrame:
-    """keys, n_chars, r, lo, piece: the text in ranges [lo, lo + range_size), each with ``halo`` code points on either side
-    (fewer at the text's ends)."""
-    n = F.length("text")
-    last = F.greatest(F.floor((n - 1) / range_size), F.lit(0)).cast("int")
-    out = texts.select(*keys, n.alias("n_chars"), "text", F.explode(F.sequence(F.lit(0), last)).alias("r"))
-    lo = F.col("r") * range_size
-    begin = F.greatest(lo - halo, F.lit(0))
-    return out.select(*keys, "n_chars", "r", lo.alias("lo"), F.substring(F.col("text"), begin + 1, lo + range_size + halo - begin).alias("piece"), begin.alias("begin"))
+    """keys, n_chars, r, lo, hi, begin, piece: texts in ranges [lo, hi) of ``range_size``, each with ``halo`` code points on either side
+    (fewer at the text's ends), from ``begin`` on. A range carries its own piece alone."""
+    types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for *key, text in pdf[[*keys, "text"]].itertuples(index=False):
+                rows = [
+                    (*key, len(text), r, lo, min(lo + range_size, len(text)), max(lo - halo, 0), text[max(lo - halo, 0) : lo + range_size + halo])
+                    for r, lo in enumerate(range(0, len(text), range_size))
+                ]
+                yield pd.DataFrame(rows, columns=[*keys, "n_chars", "r", "lo", "hi", "begin", "piece"], dtype=object)
+
+    return texts.mapInPandas(cut, f"{schema}, n_chars long, r int, lo long, hi long, begin long, piece string")
 
 
-def _fold(limit: int, least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunks(single: DataFrame | None, several: DataFrame, keys: list[str], limit: int, least: int, lead_in: int) -> DataFrame:
+    """Chunks of texts given as ranges (keys, n_chars, r, lo, hi, begin, piece with a halo of limit + lead_in); those in ``single`` are whole texts."""
+    types = {f.name: f.dataType.simpleString() for f in several.schema.fields}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+    def leave(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            runs = [exits(boundaries(t, b), lo, hi, n, limit, least) for t, b, lo, hi, n in zip(pdf["piece"], pdf["begin"], pdf["lo"], pdf["hi"], pdf["n_chars"])]
+            yield pdf[[*keys, "r", "hi"]].assign(runs=runs)
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ends = [choose_cuts([x for part in parts for x in part], n, limit, least) for parts, n in zip(pdf["parts"], pdf["n_chars"])]
-            yield pdf.drop(columns=["parts"]).assign(ends=ends)
+            found = [stitch(list(zip(t["r"], t["hi"], t["runs"]))) for t in ([{k: [row[k] for row in rows] for k in ("r", "hi", "runs")} for rows in pdf["t"]])]
+            yield pdf[keys].assign(e=[[{"r": r, "entry": at} for r, at in rows] for rows in found])
 
-    return run
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [cut_range(t, b, lo, hi, at, n, limit, least, lead_in) for t, b, lo, hi, at, n in zip(*(pdf[c] for c in ("piece", "begin", "lo", "hi", "entry", "n_chars")))]
+            rows = [(*key, *x) for key, found in zip(pdf[keys].itertuples(index=False), own) for x in found]
+            yield pd.DataFrame(rows, columns=[*keys, "char_start", "char_end", "text", "lead"], dtype=object)
+
+    # texts of one range are entered at their start; of the others only the tables of exits (a few numbers a range) come together
+    tables = several.mapInPandas(leave, f"{schema}, r int, hi long, runs array<long>")
+    gathered = tables.groupBy(*keys).agg(F.collect_list(F.struct("r", "hi", "runs")).alias("t"))
+    entries = gathered.mapInPandas(enter, f"{schema}, e array<struct<r:int,entry:long>>").select(*keys, F.explode("e").alias("e")).select(*keys, "e.r", "e.entry")
+    ready = several.join(entries, [*keys, "r"])
+    if single is not None:
+        ready = single.withColumn("entry", F.lit(0).cast("long")).unionByName(ready)
+    pieces = ready.mapInPandas(cut, f"{schema}, char_start long, char_end long, text string, lead string")
+    w = Window.partitionBy(*keys).orderBy("char_start")
+    before = F.lag("char_start").over(w)
+    size = F.when(before.isNull(), F.lit(0)).otherwise(F.least(F.lit(lead_in), F.col("char_start") - before)).cast("int")
+    numbered = pieces.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("size", size)
+    embed = F.concat(F.right("lead", F.col("size")), F.col("text"))
+    return numbered.select(*keys, "ordinal", F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"), "text", embed.alias("embed_text"))
 
 
 def split_texts(texts: DataFrame, keys: list[str], limit: int = MAX_CHARS, lead_in: int = LEAD_IN, range_size: int = RANGE) -> DataFrame:
     """Chunks of every text longer than ``limit``: keys, ordinal, char_start, char_end, text, embed_text.
 
-    ``texts`` has the keys and ``text``; equal rows count once, other columns must be dropped by the caller. Chunks don't
+    ``texts`` has the keys and ``text``; a key counts once (with its smallest text), other columns are ignored. Chunks don't
     overlap; blanks at their ends belong to no chunk. embed_text puts up to ``lead_in`` code points before the chunk (but
     no more than back to the start of the chunk before) in front of it; the first chunk has none. Null, empty and shorter texts have no rows.
     """
-    halo = limit + lead_in
-    long = texts.where(F.length("text") > limit).dropDuplicates(keys)
-    ranges = text_ranges(long, keys, range_size, halo)
-    types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    n = F.length("text")
+    long = texts.where(n > limit).groupBy(*keys).agg(F.min("text").alias("text"))
+    return _chunks(whole_texts(long.where(n <= range_size), keys), text_ranges(long.where(n > range_size), keys, range_size, limit + lead_in), keys, limit, MIN_CHARS, lead_in)
+
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_range(path: str, start: int, end: int, halo: int) -> tuple[str, int, int]:
+    """(text, code points before the range, code points of the range) of the bytes [start, end) of a UTF-8 file with up to ``halo`` bytes on either side.
+
+    A character belongs to the range that its first byte is in. Bytes that are no UTF-8 become U+FFFD.
+    """
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as source:
+        size = source.size()
+        lo, hi = max(start - halo - 4, 0), min(end + halo + 4, size)
+        raw = source.read_at(hi - lo, lo)
+
+    def at_start(pos: int) -> int:
+        """The first byte from ``pos`` on that begins a character."""
+        while lo < pos < hi and raw[pos - lo] & 0xC0 == 0x80:
+            pos += 1
+        return pos
+
+    first, one, two, last = at_start(lo + (4 if lo else 0)), at_start(start), at_start(min(end, size)), hi
+    if hi < size:
+        last = hi - 4
+        while last > two and raw[last - lo] & 0xC0 == 0x80:
+            last -= 1
+    parts = [raw[x - lo : y - lo].decode("utf-8", "replace") for x, y in ((first, one), (one, two), (two, last))]
+    return "".join(parts), len(parts[0]), len(parts[1])
+
+
+def split_files(spark: SparkSession, path: str, limit: int = MAX_CHARS, lead_in: int = LEAD_IN, range_bytes: int = FILE_RANGE) -> DataFrame:
+    """Chunks of every UTF-8 file under ``path`` that is longer than ``limit``: path, ordinal, char_start, char_end, text, embed_text, as by ``split_texts``.
+
+    Files are read twice by byte ranges: once for their lengths in code points, whose prefix sums are the ranges' offsets, once for their boundaries and pieces. No file is ever in
+    one row or one task. Empty files have no rows.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")  # contents aren't read
+    last = F.floor((F.col("length") - 1) / range_bytes).cast("int")
+    parts = listed.select("path", F.explode(F.sequence(F.lit(0), last)).alias("r")).repartition("path", "r")
+    halo = 4 * (limit + lead_in)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [boundaries(t, b, lo, lo + range_size) for t, b, lo in zip(pdf["piece"], pdf["begin"], pdf["lo"])]
-            yield pdf[[*keys, "n_chars", "r"]].assign(marks=found)
-
-    marks = ranges.mapInPandas(mark, f"{schema}, n_chars int, r int, marks array<int>")
-    stitched = marks.groupBy(*keys, "n_chars").agg(F.array_sort(F.collect_list(F.struct("r", "marks"))).alias("t")).select(*keys, "n_chars", F.col("t.marks").alias("parts"))
-    cuts = stitched.mapInPandas(_fold(limit, MIN_CHARS), f"{schema}, n_chars int, ends array<int>")
-    starts = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
-    pieces = cuts.select(*keys, F.explode(F.arrays_zip(starts.alias("s"), F.col("ends").alias("e"))).alias("x")).select(*keys, F.col("x.s").alias("s"), F.col("x.e").alias("e"))
-    pieces = pieces.withColumn("r", F.floor(F.col("s") / range_size).cast("int"))
-    cut = pieces.join(ranges, [*keys, "r"])
-    raw = F.substring(F.col("piece"), F.col("s") - F.col("begin") + 1, F.col("e") - F.col("s"))
-    left = F.length(raw) - F.length(F.regexp_replace(raw, rf"^{BLANK}+", ""))
-    body = F.regexp_replace(raw, rf"^{BLANK}+|{BLANK}+$", "")
-    cut = cut.withColumn("text", body).withColumn("char_start", F.col("s") + left).where(F.length("text") > 0).withColumn("char_end", F.col("char_start") + F.length("text"))
-    w = Window.partitionBy(*keys).orderBy("char_start")
-    before = F.lag("char_start").over(w)
-    cut = cut.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("from", F.when(before.isNull(), F.col("char_start")).otherwise(F.greatest(before, F.col("char_start") - lead_in)))
-    lead = F.substring(F.col("piece"), F.col("from") - F.col("begin") + 1, F.col("char_start") - F.col("from"))
-    return cut.select(*keys, "ordinal", "char_start", "char_end", "text", F.concat(lead, F.col("text")).alias("embed_text"))
+            yield pdf.assign(n=[read_range(p, r * range_bytes, (r + 1) * range_bytes, 0)[2] for p, r in zip(pdf["path"], pdf["r"])])
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                text, before, _ = read_range(row.path, row.r * range_bytes, (row.r + 1) * range_bytes, halo)
+                yield pd.DataFrame({"path": [row.path], "n_chars": row.n_chars, "r": row.r, "lo": row.lo, "hi": row.hi, "begin": row.lo - before, "piece": text})
+
+    lengths = write_through(parts.mapInPandas(measure, "path string, r int, n long"), "lengths")
+    w = Window.partitionBy("path").orderBy("r")
+    placed = lengths.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
+    whole = placed.groupBy("path").agg(F.max("hi").alias("n_chars")).where(F.col("n_chars") > limit)
+    ranges = placed.join(whole, "path").repartition("path", "r").mapInPandas(load, "path string, n_chars long, r int, lo long, hi long, begin long, piece string")
+    return _chunks(None, ranges, ["path"], limit, MIN_CHARS, lead_in)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -130,7 +238,7 @@ def broken_chunks(chunks: DataFrame, pages: DataFrame, limit: int = MAX_CHARS, l
     deliveries must be equal (the smallest counts otherwise).
 
     Chunks and page ranges meet once, by page; a text of several ranges is checked range by range and the findings are combined,
-    so neither a long text nor a page with many chunks is gathered in a task.
+    so no long text is gathered in a task; of a page's chunks only offsets are ordered. Stored offsets are given, so no boundary table is built.
     """
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     light = chunks.select(
@@ -146,7 +254,7 @@ def broken_chunks(chunks: DataFrame, pages: DataFrame, limit: int = MAX_CHARS, l
 
     keys = ["document_id", "page_no"]
     texts = page_texts(pages).groupBy(*keys).agg(F.min("text").alias("text"))
-    short = text_ranges(texts.where(F.length("text") <= range_size), keys, range_size)
+    short = whole_texts(texts.where(F.length("text") <= range_size), keys)
     spread = text_ranges(texts.where(F.length("text") > range_size), keys, range_size)
 
     # pages of one range (or without a text): each chunk meets its range once
@@ -159,7 +267,7 @@ def broken_chunks(chunks: DataFrame, pages: DataFrame, limit: int = MAX_CHARS, l
     first = F.floor(F.greatest(F.least("s", "reach", F.col("cs") - 1), F.lit(0)) / range_size)
     final = F.floor(F.greatest(F.least(F.greatest("ce", "cs"), F.col("n_chars")), F.lit(0)) / range_size)
     heads = spread.where("r = 0").select(*keys, "n_chars")
-    rows = own.join(heads, keys).withColumn("r", F.explode(F.sequence(first, F.greatest(final, first)))).drop("n_chars")
+    rows = own.join(heads, keys).withColumn("r", F.explode(F.sequence(first, F.greatest(final, first)).cast("array<int>"))).drop("n_chars")
     parts = _facts(rows.join(spread, [*keys, "r"]), range_size)
     both = parts.groupBy("id").agg(
         F.max(F.col("ce") - F.col("cs")).alias("extent"), F.sum("text_chars").alias("text_chars"), F.sum("lead_chars").alias("lead_chars"),

@@ -303,3 +303,32 @@ def test_reranking_goes_on_while_it_finds():
     ids = np.arange(200)
     a, b, cosine = knn.nearest_in_file(ids, orders, x, ids[:3], orders[:3], x[:3], 5, 0.5, 4)
     assert {n for n in np.bincount(a)} == {5} and min(cosine) > 0.9
+
+
+# --- problem 3, boundaries and files ----------------------------------------------------------------------------
+
+
+def test_no_word_is_cut_where_a_boundary_is_in_reach(spark):
+    texts = {1: "x" * 695 + " " + "yyyyy. " + "word " * 200, 2: "x" * 340 + " " + "z" * 2000, 3: ("w" * 20 + " ") * 200}
+    df = spark.createDataFrame(list(texts.items()), "k int, text string")
+    out: dict = {}
+    for r in split.split_texts(df, ["k"]).collect():
+        out.setdefault(r["k"], []).append(r)
+    for k, rows in out.items():
+        check_chunks(texts[k], rows)
+    assert {r["char_end"] for r in out[1] if r["ordinal"] == 0} == {695}
+    assert {r["char_end"] for r in out[2] if r["ordinal"] == 0} == {340}
+    for r in out[3]:
+        assert texts[3][r["char_end"] : r["char_end"] + 1] in (" ", "")
+
+
+def test_files_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(12)
+    texts = {"a": random_page(rng, 3000), "b": "নদী😀 é " * 900, "c": "short", "d": "", "e": "x" * 3000}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(text, encoding="utf-8", newline="")
+    whole = spark.createDataFrame([(n, t) for n, t in texts.items() if t], "path string, text string")
+    want = sorted(map(tuple, split.split_texts(whole, ["path"]).collect()))
+    for size in (257, 5000, 1 << 20):
+        got = sorted((r["path"].rsplit("/", 1)[1][:1], *r[1:]) for r in split.split_files(spark, str(tmp_path), range_bytes=size).collect())
+        assert got == want
