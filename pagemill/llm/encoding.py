@@ -2,7 +2,10 @@
 
 The garbled form of every character of interest is computed for every pair (right encoding, wrong encoding);
 all forms go into one multi-pattern automaton. Only matched spans are replaced, so correct text beside a garbled
-span stays untouched. The search is repeated on its own result, which undoes text garbled twice.
+span stays untouched. The search is repeated on its own result until it finds nothing, which undoes text garbled several times.
+
+Letters of any other script are found by whole runs: a run of characters that some wrong encoding gives to high bytes, whose bytes are UTF-8 from end to end, is one
+span. A run that is so only in part is told as lost and left as it is, so that text of a script the automaton doesn't list isn't damaged further.
 
 Losses are spans too: a lead pair of an Indic letter whose last byte was dropped, and U+FFFD. They are found but have no
 certain original; ``restore(text, guess=True)`` puts a likely letter there for operators that only need statistics.
@@ -12,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 WRONG_FOR_UTF8 = ("cp1252", "latin-1", "cp1251", "cp1250", "mac_roman", "cp437", "cp850", "iso8859_15", "cp1254", "koi8_r", "iso8859_5", "iso8859_2")
 #: Encodings that bytes of Windows-1252 are often read with by mistake (one byte a character).
 WRONG_FOR_1252 = ("cp1251", "koi8_r", "iso8859_5")
-#: Text garbled at most so many times over is undone.
-MAX_LAYERS = 4
+#: Characters of a run that is decoded as a whole, at least.
+RUN = 4
 
 _INDIC = [(0x0900, 0x0980), (0x0980, 0x0A00)]
 _LATIN = "".join(chr(c) for c in range(0xA0, 0x180))
@@ -68,17 +72,74 @@ def _tables() -> tuple:
     return automaton, "".join(sorted({f[0] for f in forms}))
 
 
-def trigger_class() -> str:
-    """A regex class (for Java and Python alike) of which every affected text has a character."""
-    return "[" + "".join(f"\\u{ord(c):04x}" for c in _tables()[1]) + "\\ufffd\\u0400-\\u045f]"
+@lru_cache(maxsize=1)
+def _high() -> dict[str, dict[str, int]]:
+    """Wrong encoding -> character -> the high byte that it stands for."""
+    return {e: {_decode(bytes([b]), e, "keep"): b for b in range(0x80, 0x100)} for e in WRONG_FOR_UTF8}
+
+
+#: Areas of Unicode that hold all characters which the wrong encodings give to high bytes.
+_HIGH_AREAS = "[\\u0080-\\u058f\\u2000-\\u26ff\\uf8ff-\\ufb0f]"
+
+
+def _class(chars) -> str:
+    return "[" + "".join(f"\\u{ord(c):04x}" for c in sorted(chars)) + "]"
+
+
+def trigger() -> str:
+    """A regex (for Java and Python alike) that every affected text matches."""
+    return "[" + _class(set(_tables()[1]))[1:-1] + "\\ufffd\\u0400-\\u045f]|" + _HIGH_AREAS + f"{{{RUN}}}"
 
 
 @lru_cache(maxsize=1)
 def _trigger() -> re.Pattern:
-    return re.compile(trigger_class())
+    return re.compile(trigger())
+
+
+@lru_cache(maxsize=1)
+def _runs() -> re.Pattern:
+    return re.compile(_class({c for table in _high().values() for c in table}) + f"{{{RUN},}}")
+
+
+@lru_cache(maxsize=1)
+def _listed() -> frozenset[str]:
+    """Characters whose garbled forms the automaton has."""
+    return frozenset(original for _, (original, _) in _tables()[0].values() if original)
+
+
+def _foreign(ch: str) -> bool:
+    """A letter or sign of a script that the automaton doesn't list."""
+    return ch not in _listed() and ord(ch) > 0x17F and unicodedata.category(ch)[0] in "LM"
+
+
+def _whole_runs(text: str, known: list[tuple[int, int, str | None, str]]) -> list[tuple[int, int, str | None, str]]:
+    """Spans of text of other scripts: runs that the ``known`` spans don't cover wholly, and whose bytes are UTF-8 (or were, before some were lost) under one of the wrong encodings."""
+    spans: list[tuple[int, int, str | None, str]] = []
+    covered = bytearray(len(text))
+    for a, b, *_ in known:
+        covered[a:b] = b"\1" * (b - a)
+    for m in _runs().finditer(text):
+        if 0 not in covered[m.start() : m.end()]:
+            continue
+        best: tuple[int, str | None] = (0, None)
+        for table in _high().values():
+            if any(c not in table for c in m[0]):
+                continue
+            raw = bytes(table[c] for c in m[0])
+            shown = raw.decode("utf-8", "replace")
+            letters = sum(map(_foreign, shown))
+            if "\ufffd" not in shown and letters >= 1 and all(c in _listed() or _foreign(c) or unicodedata.category(c)[0] in "NPZ" for c in shown):
+                best = (len(raw), shown)
+                break
+            if letters >= 2 and letters > shown.count("\ufffd") and letters > best[0]:
+                best = (letters, None)
+        if best[0]:
+            spans.append((m.start(), m.end(), best[1], "?" if best[1] is None else ""))
+    return spans
 
 
 _CYRILLIC_RUN = re.compile("[Ѐ-џ]+")
+_LATIN_LETTER = re.compile("[A-Za-zÀ-ɏ]")
 
 
 @lru_cache(maxsize=1)
@@ -92,12 +153,13 @@ def _single() -> dict[str, str]:
 
 
 def _single_spans(text: str) -> list[tuple[int, int, str | None, str]]:
-    """Cyrillic letters strewn into Latin text: one or two in a row, in a text without a Cyrillic word."""
+    """Cyrillic letters strewn into Latin text: one or two in a row, beside a Latin letter, or anywhere in a text without a Cyrillic word."""
     runs = list(_CYRILLIC_RUN.finditer(text))
-    if not runs or any(len(m[0]) > 2 for m in runs):
-        return []
+    strewn = [m for m in runs if len(m[0]) <= 2]
+    if len(strewn) < len(runs):
+        strewn = [m for m in strewn if _LATIN_LETTER.match(text, m.end()) or (m.start() and _LATIN_LETTER.match(text, m.start() - 1))]
     table = _single()
-    return [(m.start(), m.end(), "".join(table.get(c, c) for c in m[0]), "") for m in runs]
+    return [(m.start(), m.end(), "".join(table.get(c, c) for c in m[0]), "") for m in strewn]
 
 
 def find_spans(text: str) -> list[tuple[int, int, str | None, str]]:
@@ -105,11 +167,16 @@ def find_spans(text: str) -> list[tuple[int, int, str | None, str]]:
     if not text or not _trigger().search(text):
         return []
     spans = [(end + 1 - n, end + 1, original, kind) for end, (n, (original, kind)) in _tables()[0].iter_long(text)]
+    if whole := _whole_runs(text, spans):
+        covered = [False] * (len(text) + 1)
+        for a, b, *_ in whole:
+            covered[a:b] = [True] * (b - a)
+        spans = sorted([x for x in spans if not covered[x[0]] and not covered[x[1] - 1]] + whole, key=lambda x: x[:2])
     if not spans:
         spans = _single_spans(text)
     if "�" in text:
         taken = {i for a, b, *_ in spans for i in range(a, b)}
-        spans = sorted(spans + [(m.start(), m.end(), None, "?") for m in re.finditer("�+", text) if m.start() not in taken])
+        spans = sorted(spans + [(m.start(), m.end(), None, "?") for m in re.finditer("�+", text) if m.start() not in taken], key=lambda x: x[:2])
     return spans
 
 
@@ -117,35 +184,71 @@ def _is_consonant(ch: str) -> bool:
     return bool(ch) and (0x0915 <= ord(ch) <= 0x0939 or 0x0995 <= ord(ch) <= 0x09B9 or ch in "ৰৱড়ঢ়য়")
 
 
-def restore(text: str, guess: bool = False) -> tuple[str, int, bool]:
-    """(text with its garbled spans put right, number of spans of the first layer, whether something is lost).
-
-    Null and empty texts come back as they are with no span. Lost spans stay as they are unless ``guess``.
-    """
-    if not text:
-        return text, 0, False
-    count, lost = 0, False
-    for layer in range(MAX_LAYERS):
-        spans = find_spans(text)
-        if not spans:
-            break
+def _restore(chars: list[str], raw: list[str], write, guess: bool) -> tuple[list[str], int, bool]:
+    """Puts right the garbled spans of a text given as its characters and, for each, how it is written (``raw``); ``write`` says how a new character is.
+    Gives the written text, the number of spans of the first layer, and whether something is lost."""
+    count, lost, layer = 0, False, 0
+    while spans := find_spans(text := "".join(chars)):
         if layer == 0:
             count = len(spans)
-        last = not any(o is not None for _, _, o, _ in spans)
+        layer += 1
         lost = any(o is None for _, _, o, _ in spans)
-        parts, at = [], 0
+        new_chars, new_raw, at = [], [], 0
         for i, (a, b, original, kind) in enumerate(spans):
-            parts.append(text[at:a])
-            if original is None:
+            new_chars += chars[at:a]
+            new_raw += raw[at:a]
+            if original is None and guess:
                 following = spans[i + 1][2] or "" if i + 1 < len(spans) and spans[i + 1][0] == b else ""
-                original = _guess(kind, following, bool(parts and parts[-1][-1:].strip() == "" and not (i and spans[i - 1][1] == a))) if guess else text[a:b]
-            parts.append(original)
+                original = _guess(kind, following, bool(a and text[a - 1].strip() == "" and not (i and spans[i - 1][1] == a)))
+            if original is None:
+                new_chars += chars[a:b]
+                new_raw += raw[a:b]
+            else:
+                new_chars += original
+                new_raw += map(write, original)
             at = b
-        parts.append(text[at:])
-        text = "".join(parts)
-        if last:
+        new_chars += chars[at:]
+        new_raw += raw[at:]
+        if new_chars == chars or not any(o is not None for _, _, o, _ in spans):
+            chars, raw = new_chars, new_raw
             break
-    return text, count, lost
+        chars, raw = new_chars, new_raw
+    return raw, count, lost
+
+
+def restore(text: str, guess: bool = False) -> tuple[str, int, bool]:
+    """(text with its garbled spans put right, number of spans of the first layer, whether something is lost).
+
+    Null and empty texts come back as they are with no span. Lost spans stay as they are unless ``guess``. A text garbled several times over is undone layer by layer
+    until nothing garbled is found; each layer is shorter or has fewer foreign letters than the one before, so this ends.
+    """
+    if not text or not _trigger().search(text):
+        return text, 0, False
+    raw, count, lost = _restore(list(text), list(text), str, guess)
+    return "".join(raw), count, lost
+
+
+_ESCAPE = re.compile(r'\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\.|.', re.S)
+_SHORT = {"\\n": "\n", "\\t": "\t", "\\r": "\r", "\\b": "\b", "\\f": "\f"}
+
+
+def restore_json(value: str) -> tuple[str, int, bool]:
+    """``restore`` for a JSON text, whole or cut off: characters behind escapes are searched too, and everything outside the spans stays as it is written."""
+    if "\\u" not in value:
+        return restore(value)
+    raw = _ESCAPE.findall(value)
+    chars = [x if len(x) == 1 else _unescape(x) for x in raw]
+    fixed, count, lost = _restore(chars, raw, lambda c: json.dumps(c, ensure_ascii=False)[1:-1], False)
+    return "".join(fixed), count, lost
+
+
+def _unescape(written: str) -> str:
+    """The one character that an escape stands for; a lone surrogate as U+0000."""
+    if len(written) == 2:
+        return _SHORT.get(written, written[-1])
+    units = [int(x, 16) for x in written.split("\\u")[1:]]
+    code = 0x10000 + ((units[0] - 0xD800) << 10) + units[1] - 0xDC00 if len(units) == 2 else units[0]
+    return "\0" if 0xD800 <= code < 0xE000 else chr(code)
 
 
 def _guess(kind: str, following: str, word_start: bool) -> str:
@@ -170,22 +273,11 @@ def clean(text: str | None) -> str:
     return restore(text, guess=True)[0]
 
 
-def _json_text(value: str) -> str:
-    """The JSON text with its \\u escapes undone, so that a cut-off object is searched as well as a whole one."""
-    if "\\u" not in value:
-        return value
-    try:
-        return json.dumps(json.loads(value), ensure_ascii=False)
-    except ValueError:
-        return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), value)
-
-
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for doc, page, field, value in zip(pdf["document_id"], pdf["page_no"], pdf["field"], pdf["value"]):
-            value = _json_text(value) if field == "quality" else value
-            fixed, spans, lost = restore(value)
+            fixed, spans, lost = restore_json(value) if field == "quality" else restore(value)
             if spans:
                 out.append((doc, page, field, spans, not lost, fixed))
         yield pd.DataFrame(out, columns=["document_id", "page_no", "field", "n_spans", "repairable", "repaired"]).astype({"page_no": "Int32", "n_spans": "int64"})
@@ -210,6 +302,6 @@ def repair_encoding(pages: DataFrame) -> DataFrame:
         )).alias("x"),
     ).select("document_id", "page_no", "x.field", "x.value")
     # \\u escapes of JSON hide the characters
-    touched = both.filter(F.col("value").rlike(trigger_class()) | ((F.col("field") == "quality") & F.col("value").contains("\\u")))
+    touched = both.filter(F.col("value").rlike(trigger()) | ((F.col("field") == "quality") & F.col("value").contains("\\u")))
     found = touched.mapInPandas(_rows, "document_id string, page_no int, field string, n_spans long, repairable boolean, repaired string")
     return found.dropDuplicates()
