@@ -16,7 +16,7 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.encoding import clean
@@ -41,6 +41,7 @@ SCRIPT_RUN = 3
 _COUNT = itemgetter(1)
 _END = re.compile(r"[।॥.?!]+[\"'”’)\]]*$")
 _BENG, _DEVA, _LATN = re.compile("[ঀ-৿]"), re.compile("[ऀ-ॣॐ-ॿ]"), re.compile("[A-Za-zÀ-ɏ]")
+_BLANK_LINE, _WORD = re.compile(r"\n\s*\n"), re.compile(r"\S+")
 _LETTERS = re.compile(r"[^\d\W_]|[\u0900-\u0963\u0980-\u09e3]|['’]")
 
 
@@ -74,37 +75,48 @@ class _Words:
 _words = _Words()
 
 
-def segments(text: str) -> list[tuple[str, list[str]]]:
-    """(script, words) of the segments of a text: cut at sentence ends, blank lines, lasting changes of script and after SEGMENT_WORDS words.
+def placed_segments(text: str) -> list[tuple[str, list[str], int, int]]:
+    """(script, words, char_start, char_end) of the segments of a text: cut at sentence ends, blank lines, lasting changes of script and after SEGMENT_WORDS words.
 
     A word without letters, and up to SCRIPT_RUN - 1 words of another script, stay in the segment they stand in.
     """
-    out: list[tuple[str, list[str]]] = []
-    for paragraph in re.split(r"\n\s*\n", text):
+    out: list[tuple[str, list[str], int, int]] = []
+
+    def close(script: str, marks: list[re.Match]) -> None:
+        if marks:
+            out.append((script, [m[0] for m in marks], marks[0].start(), marks[-1].end()))
+
+    at = 0
+    for gap in chain(_BLANK_LINE.finditer(text), (None,)):
         script, own, alien = "", [], []
-        for word in paragraph.split():
+        for m in _WORD.finditer(text, at, gap.start() if gap else len(text)):
+            word = m[0]
             s = _words(word)[0]
             if s and script and s != script:
-                alien.append(word)
+                alien.append(m)
                 if len(alien) >= SCRIPT_RUN:
-                    if own:
-                        out.append((script, own))
+                    close(script, own)
                     script, own, alien = s, alien, []
             else:
                 if alien and s:
                     own, alien = own + alien, []
-                (alien if alien else own).append(word)
+                (alien if alien else own).append(m)
                 script = script or s
             if _END.search(word) or len(own) + len(alien) >= SEGMENT_WORDS:
                 if len(alien) >= SCRIPT_RUN:
-                    out.append((script, own))
-                    out.append((script_of("".join(alien)), alien))
+                    close(script, own)
+                    close(script_of("".join(x[0] for x in alien)), alien)
                 else:
-                    out.append((script, own + alien))
+                    close(script, own + alien)
                 script, own, alien = "", [], []
-        if own or alien:
-            out.append((script, own + alien))
-    return [(s, w) for s, w in out if w]
+        close(script, own + alien)
+        at = gap.end() if gap else at
+    return out
+
+
+def segments(text: str) -> list[tuple[str, list[str]]]:
+    """(script, words) of the segments of a text."""
+    return [x[:2] for x in placed_segments(text)]
 
 
 def ranked(words: list[str], most: int) -> list[str]:
@@ -192,10 +204,10 @@ STRANGE = 0.62
 SURE = 0.08
 
 
-def passages(text: str, profiles: Profiles, common: frozenset[str]) -> list[tuple[str, int, float]]:
-    """(language, words, confidence) of the passages of a text, in order. Nothing for an empty or unreadable text."""
+def placed_passages(text: str, profiles: Profiles, common: frozenset[str]) -> list[tuple[str, int, float, int, int]]:
+    """(language, words, confidence, char_start, char_end) of the passages of a text, in order. Nothing for an empty or unreadable text. Offsets are into the text with its encoding put right."""
     text = clean(text)
-    found = [(*profiles.identify(s, w), len([x for x in w if _words(x)[0]]), s) for s, w in segments(text)]
+    found = [(*profiles.identify(s, w), len([x for x in w if _words(x)[0]]), s, start, end) for s, w, start, end in placed_segments(text)]
     found = [f for f in found if f[0]]
     if not found:
         return []
@@ -204,13 +216,16 @@ def passages(text: str, profiles: Profiles, common: frozenset[str]) -> list[tupl
         return []
     # the main language of each script on this page settles short and doubtful segments
     main: dict[str, Counter] = defaultdict(Counter)
-    for lang, lead, _, n, s in found:
+    for lang, lead, _, n, s, *_ in found:
         main[s][lang] += n * min(lead, 0.3)
     out: list[list] = []
-    carried = 0
-    for lang, lead, _, n, s in found:
-        if n < SCRIPT_RUN and n < total:  # a few words of another script are no segment of their own
-            carried += n
+    waiting = 0
+    for lang, lead, _, n, s, start, end in found:
+        if n < SCRIPT_RUN and n < total:  # a few words of another script are no segment of their own: they count where they stand
+            if out:
+                out[-1][1], out[-1][4] = out[-1][1] + n, end
+            else:
+                waiting += n
             continue
         usual = main[s].most_common(1)[0][0]
         if lang != usual and (lead < SURE or n < 4):
@@ -218,11 +233,16 @@ def passages(text: str, profiles: Profiles, common: frozenset[str]) -> list[tupl
         if out and out[-1][0] == lang:
             out[-1][1] += n
             out[-1][2] += lead * n
+            out[-1][4] = end
         else:
-            out.append([lang, n, lead * n])
-    if out:
-        out[-1][1] += carried
-    return [(lang, n, round(weighted / max(n, 1), 4)) for lang, n, weighted in out]
+            out.append([lang, n + waiting, lead * n, start, end])
+            waiting = 0
+    return [(lang, n, round(weighted / max(n, 1), 4), start, end) for lang, n, weighted, start, end in out]
+
+
+def passages(text: str, profiles: Profiles, common: frozenset[str]) -> list[tuple[str, int, float]]:
+    """(language, words, confidence) of the passages of a text."""
+    return [x[:3] for x in placed_passages(text, profiles, common)]
 
 
 def label_code(name: str | None) -> str | None:
@@ -233,7 +253,8 @@ def label_code(name: str | None) -> str | None:
     return SPELLINGS.get(short, short or None)
 
 
-def _label_column(name):
+def label_column(name: Column) -> Column:
+    """``label_code`` of a column."""
     short = F.lower(F.trim(F.element_at(F.split(F.regexp_replace(name, r"^(?U:\s)+|(?U:\s)+$", ""), "[-_]"), 1)))
     table = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, short), short)
@@ -278,6 +299,28 @@ def page_languages(pages: DataFrame, profiles: Profiles, common: frozenset[str])
     return kept.mapInPandas(run, "document_id string, page_no int, language string, n_words long, longest long, confidence double").distinct()
 
 
+def page_segments(pages: DataFrame, profiles: Profiles, common: frozenset[str]) -> DataFrame:
+    """One row per passage of one language of each page text: document_id, page_no, segment_no (from 1), char_start, char_end, language, n_words, confidence.
+
+    Offsets are into the page's text with its encoding put right. Null, empty and unreadable texts have no rows; equal deliveries count once.
+    """
+    sent = pages.sparkSession.sparkContext.broadcast((profiles, common))  # at most 15 profiles of PROFILE n-grams
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prof, words = sent.value
+        columns = ["document_id", "page_no", "segment_no", "char_start", "char_end", "language", "n_words", "confidence"]
+        for pdf in batches:
+            rows = [
+                (doc, page, i, start, end, lang, n, conf)
+                for doc, page, text in zip(pdf["document_id"], pdf["page_no"], pdf["text"])
+                for i, (lang, n, conf, start, end) in enumerate(placed_passages(text, prof, words), 1)
+            ]
+            yield pd.DataFrame(rows, columns=columns).astype({"page_no": "Int32"})
+
+    kept = pages.where("text is not null").select("document_id", "page_no", "text")
+    return kept.mapInPandas(run, "document_id string, page_no int, segment_no int, char_start int, char_end int, language string, n_words long, confidence double").distinct()
+
+
 def document_languages(found: DataFrame, documents: DataFrame) -> DataFrame:
     """One row per document with a readable page: doc_id, language (the one most of its words are in), confidence (share of words times mean lead), label
     (``language`` as a code, null when empty), claimed (the label as stored)."""
@@ -286,7 +329,7 @@ def document_languages(found: DataFrame, documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", F.col("id").alias("document_id"), F.col("language").alias("claimed"))
     return docs.join(best, "document_id").where("m.n > 0").select(
         "doc_id", "document_id", F.col("m.language").alias("language"), F.round(F.col("m.c") / F.col("total"), 4).alias("confidence"),
-        F.when(F.length(F.trim(F.coalesce("claimed", F.lit("")))) > 0, _label_column(F.col("claimed"))).alias("label"), "claimed")
+        F.when(F.length(F.trim(F.coalesce("claimed", F.lit("")))) > 0, label_column(F.col("claimed"))).alias("label"), "claimed")
 
 
 def wrong_labels(found: DataFrame, documents: DataFrame, least_words: int = PASSAGE_WORDS) -> DataFrame:

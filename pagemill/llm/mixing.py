@@ -1,9 +1,9 @@
 """Problem 9: mixing sources to target weights.
 
-The weights run down a tree of domains (the first word of a source's name), sources and languages. A node that can't use
+The weights run down a tree of domains (the first word of a source's name), languages and sources; a source's weight is spread over its languages by their tokens. A node that can't use
 its share (its documents times its allowed repeats are too few) passes the shortage to its siblings in proportion to their
-weights, and only what no sibling can take goes to the relatives of an ancestor: languages of one source help each
-other first, then the sources of a domain, then other domains. Each leaf takes whole epochs of its documents and a
+weights, and only what no sibling can take goes to the relatives of an ancestor: sources of one domain and language help each
+other first, then the languages of a domain, then other domains. Each leaf takes whole epochs of its documents and a
 token-prefix of one more, in an order seeded by the epoch.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm.langid import LANGUAGES, label_column
 from pagemill.llm.tokenizer import token_counts
 from pagemill.sources.shared import write_through
 
@@ -25,9 +26,9 @@ def source_key(name: Column) -> Column:
 
 
 def language_key(name: Column) -> Column:
-    """Two letters of the language label, ``other`` where it names none of the corpus's five."""
-    short = F.substring(F.lower(F.trim(name)), 1, 2)
-    return F.when(short.isin("bn", "be"), "bn").when(short.isin("en", "hi", "as", "mr"), short).when(short == "ma", "mr").otherwise("other")
+    """The code of the language label in any of its spellings, ``other`` where it names none of the corpus's five."""
+    code = label_column(name)
+    return F.when(code.isin(*LANGUAGES), code).otherwise("other")
 
 
 def fill(amount: float, weights: list[float], room: list[float]) -> list[float]:
@@ -49,18 +50,24 @@ def fill(amount: float, weights: list[float], room: list[float]) -> list[float]:
 
 
 def plan(leaves: list[dict], budget: float) -> list[dict]:
-    """Tokens for each leaf (source, language, weight, repeats, tokens). Leaves of one source share its weight by their tokens."""
-    by: dict[str, dict[str, list[dict]]] = {}
+    """Epochs (``whole``) and tokens of one more (``rest``) for each leaf (source, language, weight of the source, repeats, tokens)."""
+    of_source: dict[str, int] = {}
     for leaf in leaves:
-        by.setdefault(leaf["source"].split(" ")[0], {}).setdefault(leaf["source"], []).append(leaf)
-    room_of = lambda group: float(sum(x["tokens"] * x["repeats"] for x in group)) if group[0]["weight"] > 0 else 0.0
-    domains = list(by.values())
-    amounts = fill(budget, [sum(g[0]["weight"] for g in d.values()) for d in domains], [sum(room_of(g) for g in d.values()) for d in domains])
+        of_source[leaf["source"]] = of_source.get(leaf["source"], 0) + leaf["tokens"]
+    tree: dict[str, dict[str, list[dict]]] = {}
+    for leaf in leaves:
+        tree.setdefault(leaf["source"].split(" ")[0], {}).setdefault(leaf["language"], []).append(leaf)
+    weight_of = lambda x: x["weight"] * x["tokens"] / of_source[x["source"]] if x["tokens"] else 0.0
+    room_of = lambda x: float(x["tokens"] * x["repeats"]) if x["weight"] > 0 else 0.0
+
+    def share(amount: float, groups: list[list[dict]]) -> list[float]:
+        return fill(amount, [sum(map(weight_of, g)) for g in groups], [sum(map(room_of, g)) for g in groups])
+
     out = []
-    for d, amount in zip(domains, amounts):
-        groups = list(d.values())
-        for g, part in zip(groups, fill(amount, [x[0]["weight"] for x in groups], [room_of(x) for x in groups])):
-            for leaf, tokens in zip(g, fill(part, [float(x["tokens"]) for x in g], [float(x["tokens"] * x["repeats"]) for x in g])):
+    domains = [list(languages.values()) for languages in tree.values()]
+    for languages, amount in zip(domains, share(budget, [[x for g in d for x in g] for d in domains])):
+        for sources, part in zip(languages, share(amount, languages)):
+            for leaf, tokens in zip(sources, share(part, [[x] for x in sources])):
                 whole = min(int(tokens // leaf["tokens"]), leaf["repeats"]) if leaf["tokens"] else 0
                 rest = tokens - whole * leaf["tokens"] if whole < leaf["repeats"] else 0.0
                 out.append(leaf | {"whole": whole, "rest": rest if rest >= 0.5 else 0.0})

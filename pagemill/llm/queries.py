@@ -83,6 +83,12 @@ def p7_pages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d)[0]
 
 
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    pages = read_table(spark, d, "document_pages")
+    profiles, common = langid.fit_profiles(pages, read_table(spark, d, "documents"), read_table(spark, d, "common_words"))
+    return langid.page_segments(pages, profiles, common)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(read_table(spark, d, "documents"))
 

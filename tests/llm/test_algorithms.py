@@ -332,3 +332,19 @@ def test_files_by_byte_ranges(spark, tmp_path):
     for size in (257, 5000, 1 << 20):
         got = sorted((r["path"].rsplit("/", 1)[1][:1], *r[1:]) for r in split.split_files(spark, str(tmp_path), range_bytes=size).collect())
         assert got == want
+
+
+# --- problem 9, the tree ----------------------------------------------------------------------------------------
+
+
+def test_sources_of_a_language_before_other_languages():
+    leaf = lambda s, lang, w, n: {"source": s, "language": lang, "weight": w, "repeats": 1, "tokens": n}
+    leaves = [leaf("a x", "en", 0.5, 100), leaf("a y", "en", 0.25, 900), leaf("a z", "bn", 0.25, 900)]
+    out = {x["source"]: x["whole"] * x["tokens"] + x["rest"] for x in mixing.plan(leaves, 1000)}
+    assert out == {"a x": 100, "a y": 650, "a z": 250}
+
+
+def test_language_labels_in_any_spelling(spark):
+    rows = [("হিন্দী",), ("हिन्दी",), ("Marathi",), ("মারাঠি",), ("bn_IN",), (" EN ",), ("fr",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "x string")
+    assert [r[0] for r in df.select(mixing.language_key(df.x)).collect()] == ["other", "hi", "mr", "other", "bn", "en", "other", "other", "other"]

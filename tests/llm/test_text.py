@@ -203,3 +203,17 @@ def test_untrained_model_still_labels():
     lines = ["নদীর কথা   ৩", "সেই নদী থেকে সবাই জল আনে এবং ঘরে ফেরে।", "- ৩ -"]
     filled, rows = scan_noise.line_features(lines, {}, "")
     assert scan_noise.train_lines([]).decode(rows)[1:] == ["body", "pageno"]
+
+
+def test_segments_of_a_page(spark, profiles):
+    a, b = (BN + " ") * 2, (EN + " ") * 2
+    text = a + b + "\n\n" + BN
+    rows = [("d", 1, text), ("d", 1, text), ("d", 2, BN + " river stone " + BN), ("d", 3, None), ("d", 4, "")]
+    pages = spark.createDataFrame(rows, "document_id string, page_no int, text string").selectExpr("*", "'x' as language")
+    out = sorted(langid.page_segments(pages, profiles, frozenset()).collect(), key=lambda r: (r["page_no"], r["segment_no"]))
+    one = [r for r in out if r["page_no"] == 1]
+    assert [r["language"] for r in one] == ["bn", "en", "bn"] and all(0 < r["confidence"] <= 1 for r in one)
+    assert [text[r["char_start"] : r["char_end"]] for r in one] == [a.strip(), b.strip(), BN.strip()]
+    two = [r for r in out if r["page_no"] == 2]
+    assert [(r["language"], r["n_words"]) for r in two] == [("bn", 2 * len(BN.split()) + 2)] and len(out) == 4
+    assert langid.page_segments(pages.limit(0), profiles, frozenset()).count() == 0
