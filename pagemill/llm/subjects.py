@@ -5,13 +5,14 @@ Labelling functions vote on the subject of each passage: the lexicon (a sticky c
 latent model learns each function's accuracy from how the votes agree over the whole corpus (expectation maximisation over counts of vote
 patterns) and gives each pattern a posterior over subjects; a document has the subjects that enough of its words belong to.
 
-The lexicon starts from the seed roots below and grows by the words that keep company with them in the corpus.
+The lexicon starts from the seed roots below, or for a subject without them from its title and its hand-labelled documents, and grows by the words that keep company with
+these in the corpus.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,10 @@ ROOT_LEAST = 4
 GROW_COUNT, GROW_SHARE, GROW_PURE = 4, 0.3, 0.7
 #: And with so many times the share that the subject's company has of all sentences.
 GROW_LIFT = 1.8
-#: Words of the lexicon at most (the most frequent).
-LEXICON_MOST = 50_000
+#: Words of the lexicon that are sent to every worker at most (the most frequent); a document's words among the rest are looked up by a join.
+LEXICON_MOST = 500_000
+#: Labelled documents that roots of unlisted subjects are learned from at most, and in how many of a subject's documents such a root must stand.
+LABEL_SAMPLE, LABEL_DOCS = 2000, 3
 #: A document has a subject that at least this share of its words, and so many words, belong to.
 SHARE, LEAST_WORDS = 0.25, 8
 
@@ -68,59 +71,84 @@ def sentences(text: str) -> list[list[list[str]]]:
     return out
 
 
-class Seeds:
-    """Subject of a word by the seed roots, remembered for repeated words (bounded)."""
+class Seeds(dict):
+    """Subject of a word (-1: none): by ``first`` (a lexicon), else by the seed roots, else by ``learned`` roots of subjects that have no seeds. Remembered for repeated words (bounded)."""
 
-    def __init__(self, subjects: list[str]):
-        self.whole: dict[str, int] = {}
+    def __init__(self, subjects: list[str], learned: dict[str, int] | None = None, first: dict[str, int] | None = None):
+        super().__init__()
+        self.first = first or {}
+        self.whole: dict[str, int] = dict(learned or {})
         self.roots: dict[str, int] = {}
         for k, subject in enumerate(subjects):
             for root in SEEDS.get(subject, "").split():
                 (self.roots if len(root) >= ROOT_LEAST else self.whole)[root] = k
         self.sizes = sorted({len(r) for r in self.roots}, reverse=True)
-        self.kept: dict[str, int] = {}
 
-    def __call__(self, word: str) -> int:
-        got = self.kept.get(word)
-        if got is None:
+    def __missing__(self, word: str) -> int:
+        got = self.first.get(word, -1)
+        if got < 0:
             got = self.whole.get(word, -1)
-            if got < 0 and len(word) >= ROOT_LEAST:
-                got = next((self.roots[word[:n]] for n in self.sizes if word[:n] in self.roots and len(word) - n <= 6), -1)
-            if len(self.kept) > 300_000:
-                self.kept.clear()
-            self.kept[word] = got
+        if got < 0 and len(word) >= ROOT_LEAST:
+            got = next((self.roots[word[:n]] for n in self.sizes if word[:n] in self.roots and len(word) - n <= 6), -1)
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = got
         return got
 
 
-def _company(subjects: list[str]):
+def learned_roots(docs: DataFrame, labels: DataFrame, areas: list[tuple[str, str | None]]) -> dict[str, int]:
+    """word -> subject number for the subjects that SEEDS doesn't list: the words of their titles, and words that in the hand-labelled documents belong to them.
+
+    A word belongs to a subject when it stands in at least LABEL_DOCS of its labelled documents, and most labelled documents that it stands in have that subject. Fitted on
+    the labelled documents (doc_id, label) with the smallest hashes, at most LABEL_SAMPLE; every label votes on its own document all the same.
+    """
+    unlisted = [k for k, (subject, _) in enumerate(areas) if subject not in SEEDS]
+    if not unlisted:
+        return {}
+    out = {w: k for k in unlisted for w in words_of(areas[k][1] or "") if len(w) >= ROOT_LEAST}
+    picked = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_SAMPLE)
+    rows = docs.join(F.broadcast(picked), "doc_id").select("label", "text").limit(4 * LABEL_SAMPLE).collect()  # at most LABEL_SAMPLE labels are broadcast
+    counts: dict[str, Counter] = {}
+    for r in rows:
+        for w in {w for p in sentences(clean(r["text"])) for s in p for w in s}:
+            counts.setdefault(w, Counter())[r["label"]] += 1
+    for w, c in counts.items():
+        label, n = c.most_common(1)[0]
+        if label in unlisted and n >= LABEL_DOCS and n >= 0.7 * sum(c.values()) and len(w) > 1:
+            out.setdefault(w, label)
+    return out
+
+
+def _company(subjects: list[str], learned: dict[str, int]):
     """(word, subject or -1, n): sentences of a paragraph whose other words' seeds point to one subject; -1 counts all sentences of a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seed = Seeds(subjects)
+        seed = Seeds(subjects, learned)
         for pdf in batches:
-            counts: Counter = Counter()
+            # all sentences, then those of each subject; the empty word stands for all words
+            counts = [Counter() for _ in range(len(subjects) + 1)]
             for text in pdf["text"]:
                 for paragraph in sentences(clean(text)):
                     for s in paragraph:
-                        hits = [k for w in s if (k := seed(w)) >= 0]
                         distinct = set(s)
-                        counts.update((w, -1) for w in distinct)
-                        counts["", -1] += 1  # the empty word stands for all sentences
+                        counts[-1].update(distinct)
+                        counts[-1][""] += 1
+                        hits = [k for w in s if (k := seed[w]) >= 0]
                         if hits:
-                            own = Counter(hits)
-                            top, n = own.most_common(1)[0]
+                            top, n = Counter(hits).most_common(1)[0] if len(hits) > 1 else (hits[0], 1)
                             if n * 3 >= 2 * len(hits):
-                                counts["", top] += 1
+                                counts[top][""] += 1
                                 # a seed is no company to itself
-                                counts.update((w, top) for w in distinct if seed(w) < 0 or n > 1)
-            yield pd.DataFrame([(w, k, n) for (w, k), n in counts.items()], columns=["word", "subject", "n"]).astype({"word": str, "subject": "int32", "n": "int64"})
+                                counts[top].update(distinct if n > 1 else [w for w in distinct if seed[w] < 0])
+            rows = [(w, k if k < len(subjects) else -1, n) for k, c in enumerate(counts) for w, n in c.items()]
+            yield pd.DataFrame(rows, columns=["word", "subject", "n"]).astype({"word": str, "subject": "int32", "n": "int64"})
 
     return run
 
 
-def grow_lexicon(docs: DataFrame, subjects: list[str]) -> dict[str, int]:
-    """word -> subject number. Counted over all documents; at most LEXICON_MOST words (the most frequent) come to the driver."""
-    counts = docs.mapInPandas(_company(subjects), "word string, subject int, n long").groupBy("word", "subject").agg(F.sum("n").alias("n"))
+def grow_lexicon(docs: DataFrame, subjects: list[str], learned: dict[str, int], most: int = LEXICON_MOST) -> tuple[dict[str, int], DataFrame | None]:
+    """(word -> subject number, rest): counted over all documents. The ``most`` most frequent words come to the driver; ``rest`` has the others (word, subject), None if there are none."""
+    counts = docs.mapInPandas(_company(subjects, learned), "word string, subject int, n long").groupBy("word", "subject").agg(F.sum("n").alias("n"))
     counts = write_through(counts, "company")
     base = {r["subject"]: r["n"] for r in counts.where("word = ''").collect()}  # one row a subject
     usual = F.create_map(*[F.lit(x) for k in range(-1, len(subjects)) for x in (k, base.get(k, 0) / max(base.get(-1, 1), 1))])
@@ -128,8 +156,28 @@ def grow_lexicon(docs: DataFrame, subjects: list[str]) -> dict[str, int]:
     best = counts.groupBy("word").agg(F.max(with_subject).alias("m"), F.sum(F.when(F.col("subject") >= 0, F.col("n"))).alias("company"), F.max(F.when(F.col("subject") < 0, F.col("n"))).alias("total"))
     good = best.where(
         (F.col("m.n") >= GROW_COUNT) & (F.col("m.n") >= GROW_SHARE * F.col("total")) & (F.col("m.n") >= GROW_LIFT * usual[F.col("m.subject")] * F.col("total")) & (F.col("m.n") >= GROW_PURE * F.col("company")) & (F.length("word") > 1) & F.col("word").rlike(r"^[^\d০-৯०-९]+$"))
-    rows = good.orderBy(F.desc("m.n"), "word").limit(LEXICON_MOST).select("word", "m.subject").collect()
-    return dict((r[0], r[1]) for r in rows)
+    good = write_through(good.select("word", F.col("m.subject").alias("subject"), F.col("m.n").alias("n")), "lexicon")
+    rows = good.orderBy(F.desc("n"), "word").limit(most + 1).collect()
+    if len(rows) <= most:
+        return {r["word"]: r["subject"] for r in rows}, None
+    last = rows[-1]
+    rest = good.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") >= last["word"])))
+    return {r["word"]: r["subject"] for r in rows[:-1]}, rest.select("word", "subject")
+
+
+def rare_words(docs: DataFrame, lexicon: dict[str, int], rest: DataFrame) -> DataFrame:
+    """(doc_id, rare): the words of each document that are in ``rest`` (a lexicon too large to send), by a join."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most LEXICON_MOST words
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (doc, w) for doc, text, name in zip(pdf["doc_id"], pdf["text"], pdf["filename"])
+                for w in {*words_of(name or ""), *(w for p in sentences(clean(text)) for s in p for w in s)} if w not in sent.value
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "word"])
+
+    return docs.select("doc_id", "text", "filename").mapInPandas(run, "doc_id long, word string").join(rest, "word").groupBy("doc_id").agg(F.collect_set(F.struct("word", "subject")).alias("rare"))
 
 
 class Chain:
@@ -175,32 +223,32 @@ FUNCTIONS = ("lexicon", "hits", "section", "address", "source", "labels")
 _ABSTAIN = 31
 
 
-def _votes(subjects: list[str], lexicon: dict[str, int], by_source: dict[str, int]):
-    """(doc_id, total, pattern, words): words of each document by the vote pattern of the passage they stand in. The labels' place is left open."""
+def _votes(subjects: list[str], lexicon: dict[str, int], learned: dict[str, int]):
+    """(doc_id, total, pattern, words): words of each document by the vote pattern of the passage they stand in. The places of the source and the labels are left open."""
     k = len(subjects)
     chain = Chain(k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seed = Seeds(subjects)
-        get = lexicon.get
+        known = Seeds(subjects, learned, lexicon)
         for pdf in batches:
             rows = []
-            for doc, text, filename, source in zip(pdf["doc_id"], pdf["text"], pdf["filename"], pdf["source"]):
+            extra = pdf["rare"] if "rare" in pdf else [None] * len(pdf)
+            for doc, text, filename, rare in zip(pdf["doc_id"], pdf["text"], pdf["filename"], extra):
                 units = []
+                subject = known
+                if rare is not None and len(rare):
+                    subject = Seeds(subjects, learned, ChainMap({r["word"]: r["subject"] for r in rare}, lexicon))
                 for paragraph in sentences(clean(text)):
                     for j, s in enumerate(paragraph):
                         hits: dict[int, int] = {}
                         for w in s:
-                            h = get(w, -1)
-                            if h < 0:
-                                h = seed(w)
+                            h = subject[w]
                             if h >= 0:
                                 hits[h] = hits.get(h, 0) + 1
                         units.append((len(s), hits, j == 0))
                 states = chain.decode(units)
-                named = Counter(h for w in words_of(filename or "") if (h := get(w, -1)) >= 0)
+                named = Counter(h for w in words_of(filename or "") if (h := subject.first.get(w, -1)) >= 0)
                 address = named.most_common(1)[0][0] if named else _ABSTAIN
-                origin = by_source.get(source or "", _ABSTAIN)
                 patterns: Counter = Counter()
                 total, at, before = 0, 0, _ABSTAIN
                 while at < len(units):
@@ -213,7 +261,7 @@ def _votes(subjects: list[str], lexicon: dict[str, int], by_source: dict[str, in
                         end += 1
                     raw = hits.most_common(1)[0][0] if hits else k
                     pattern = 0
-                    for vote in (states[at], raw, before, address, origin, _ABSTAIN):
+                    for vote in (states[at], raw, before, address, _ABSTAIN, _ABSTAIN):
                         pattern = pattern << 5 | vote
                     patterns[pattern] += n
                     total, before, at = total + n, states[at], end
@@ -226,8 +274,8 @@ def _votes(subjects: list[str], lexicon: dict[str, int], by_source: dict[str, in
 def learn_accuracies(patterns: list[tuple[int, int]], k: int, rounds: int = 25) -> tuple[dict[int, np.ndarray], dict[str, float]]:
     """(posterior over k subjects and none for each pattern, accuracy of each function) from (pattern, words) counts, by expectation maximisation.
 
-    Given the true subject, a function that votes is right with its accuracy and else names any other; what is true has a learned prior. Accuracies begin at 0.9 for
-    the lexicon and 0.6 for the others, and are kept between 0.2 and 0.99 so that no function rules alone.
+    Given the true subject, a function that votes is right with its accuracy and else names any other; what is true has a learned prior. Accuracies begin at 0.95 for
+    the lexicon, 0.8 for its hits, 0.5 for the section, 0.6 for the address, 0.4 for the source and 0.7 for the labels, and are kept between 0.05 and 0.99 so that logarithms stay finite.
     """
     m = len(FUNCTIONS)
     if not patterns:
@@ -248,35 +296,37 @@ def learn_accuracies(patterns: list[tuple[int, int]], k: int, rounds: int = 25)
         for j in range(m):
             rows = np.flatnonzero(votes[:, j] <= k)
             if len(rows) and weight[rows].sum() > 0:
-                accuracy[j] = np.clip((weight[rows] * post[rows, votes[rows, j]]).sum() / weight[rows].sum(), 0.2, 0.99)
-        # section, address and source name a whole's subject: they lean towards a passage's but never outvote its words
-        accuracy[2:5] = np.minimum(accuracy[2:5], 0.6)
+                accuracy[j] = np.clip((weight[rows] * post[rows, votes[rows, j]]).sum() / weight[rows].sum(), 0.05, 0.99)
         prior = (weight[:, None] * post).sum(0) + 1
         prior /= prior.sum()
     return {p: post[i] for i, (p, _) in enumerate(patterns)}, dict(zip(FUNCTIONS, accuracy.round(4).tolist()))
 
 
-def document_subjects(documents: DataFrame, subject_areas: DataFrame, subject_labels: DataFrame) -> DataFrame:
+def document_subjects(documents: DataFrame, subject_areas: DataFrame, subject_labels: DataFrame, lexicon_most: int = LEXICON_MOST) -> DataFrame:
     """One row per document with a non-blank text and subject it touches: doc_id, subject, words, total, share (expected share of its words, by the posterior).
 
-    A document's rows with the same doc_id are one document by their longest text. Null, empty and blank texts have no rows; labels of unknown subjects
+    doc_id is unique; rows repeated with the same text count once. Null, empty and blank texts have no rows; labels of unknown subjects
     count as none of them; contradicting labels of a document are left out. Texts are read whole, twice, and not shuffled: the labels, all of
     them, are joined to the documents' patterns.
     """
     spark = documents.sparkSession
-    subjects = [r[0] for r in subject_areas.select("subject").where("subject is not null").distinct().orderBy("subject").limit(31).collect()]
+    areas = [(r[0], r[1]) for r in subject_areas.where("subject is not null").groupBy("subject").agg(F.min("title")).orderBy("subject").limit(31).collect()]
+    subjects = [s for s, _ in areas]
     if len(subjects) > 30:
         raise ValueError("at most 30 subjects")
     k = len(subjects)
     docs = documents.where("text is not null and text rlike '\\\\S'").select("doc_id", "text", "filename", F.lower(F.trim("source")).alias("source"))
-    lexicon = grow_lexicon(docs.select("text"), subjects)
     number = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in enumerate(subjects)) for x in pair])
     labels = subject_labels.where("doc_id is not null and subject is not null").select("doc_id", F.coalesce(F.try_element_at(number, F.col("subject")), F.lit(k)).alias("s")).groupBy("doc_id").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     labels = labels.where("lo = hi").select("doc_id", F.col("lo").cast("long").alias("label"))
-    sent = spark.sparkContext.broadcast(lexicon)
+    learned = learned_roots(docs, labels, areas)
+    lexicon, rest = grow_lexicon(docs.select("text"), subjects, learned, lexicon_most)
+    if rest is not None:
+        docs = docs.join(rare_words(docs, lexicon, rest), "doc_id", "left")
+    sent = spark.sparkContext.broadcast(lexicon)  # at most LEXICON_MOST words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _votes(subjects, sent.value, {})(batches)
+        yield from _votes(subjects, sent.value, learned)(batches)
 
     rows = write_through(docs.mapInPandas(run, "doc_id long, total long, pattern long, words long").dropDuplicates(["doc_id", "pattern"]), "votes")
     # the labels' place is the last of the pattern
