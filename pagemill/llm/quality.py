@@ -8,6 +8,7 @@ the hand-checked holdout of ``quality_holdout``, and the trees then decide every
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,13 +32,10 @@ FEATURES = (
 )
 
 
-@lru_cache(maxsize=1)
-def _classes() -> dict[int, str]:
-    """Character -> class: v Latin vowel, c other Latin letter, i Indic letter, s Indic sign, d digit, p punctuation, y symbol, space and newline as they are."""
-    import unicodedata
+class _Classes(dict):
+    """Code point -> class: v Latin vowel, c other letter of an alphabet before the Indic blocks, i letter from there on, s sign, d digit, p punctuation, y symbol, space and newline as they are."""
 
-    table: dict[int, str] = {}
-    for code in range(0x3000):
+    def __missing__(self, code: int) -> str:
         ch = chr(code)
         cat = unicodedata.category(ch)
         if ch == "\n":
@@ -54,8 +52,13 @@ def _classes() -> dict[int, str]:
             out = "p"
         else:
             out = "y"
-        table[code] = out
-    return table
+        self[code] = out
+        return out
+
+
+@lru_cache(maxsize=1)
+def _classes() -> _Classes:
+    return _Classes()
 
 
 _EDGE = ".,;:!?।॥|\"'()[]{}“”‘’—–-‐•●*"
@@ -150,22 +153,16 @@ def common_set(common_words: DataFrame) -> frozenset[str]:
 
 
 def fit_kinds(x: np.ndarray, common: frozenset[str]) -> BoostedTrees:
-    """Trees fitted on the weakly labelled rows of ``x`` and calibrated on the hand-checked holdout.
+    """Trees fitted on the weakly labelled rows of ``x`` and calibrated on the hand-checked holdout, which is never fitted.
 
-    Holdout rows are also fitted when a class has no weak label in the sample, so an empty sample still gives a model.
+    The hand-written EXAMPLES (no part of the holdout) are fitted too, so that a sample without some class, or an empty one, still gives a model.
     """
-    from pagemill.llm.quality_holdout import HOLDOUT
+    from pagemill.llm.quality_holdout import EXAMPLES, HOLDOUT
 
-    hx = np.array([features(t, common) for t, _ in HOLDOUT])
-    hy = np.array([KINDS.index(k) for _, k in HOLDOUT])
+    (hx, hy), (ex, ey) = ((np.array([features(t, common) for t, _ in rows]), np.array([KINDS.index(k) for _, k in rows])) for rows in (HOLDOUT, EXAMPLES))
     y = np.array([weak_label(dict(zip(FEATURES, row))) for row in x], dtype=int)
-    x, y = x[y >= 0] if len(x) else hx, y[y >= 0]
-    missing = [k for k in range(len(KINDS)) if (y == k).sum() < 5]
-    if not len(y):
-        x, y = hx, hy
-    elif missing:
-        add = np.isin(hy, missing)
-        x, y = np.vstack([x, hx[add]]), np.concatenate([y, hy[add]])
+    x, y = (x[y >= 0], y[y >= 0]) if len(y) else (ex[:0], y)
+    x, y = np.vstack([x, ex]), np.concatenate([y, ey])
     return BoostedTrees().fit(x, y, len(KINDS)).calibrate(hx, hy)
 
 

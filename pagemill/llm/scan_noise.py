@@ -1,9 +1,8 @@
 """Problem 1: noise in text from scanned pages, and its repair.
 
-The lines of a page are labelled header, page number or body by a linear conditional model over layout features (a
-linear-chain model: line features and transitions, decoded with Viterbi, weights learned by the averaged perceptron on the gold
-pages). Words broken at a line end and misread words are found against the vocabulary of the pages that came with a text layer; paragraphs are
-put together again from the body lines.
+The lines of a page are labelled header, page number, break (running text that begins a paragraph or verse line) or body (running text that goes on) by a linear conditional
+model over layout features (a linear-chain model: line features and transitions, decoded with Viterbi, weights learned by the averaged perceptron on the gold
+pages). Paragraphs are put together from these labels. Words broken at a line end and misread words are told by the vocabulary of the pages that came with a text layer.
 """
 
 from __future__ import annotations
@@ -23,9 +22,11 @@ from pagemill.llm.quality import FEATURES, _classes, common_set, features, weak_
 from pagemill.sources.shared import write_through
 
 #: Gold pages that the line model is trained on at most (those with the smallest hash of their key), and rounds of training.
-FIT_SAMPLE, ROUNDS = 800, 6
+FIT_SAMPLE, ROUNDS = 2000, 6
 #: So many of the most frequent words go to every worker, to spare the shuffle of words that are surely right; all others are looked up by a join.
 TOP_WORDS = 20_000
+#: Words of a line that may be looked for on other pages as a running header; a longer line is running text.
+HEADER_WORDS = 8
 #: Signs that mark a word as broken at the line end.
 BREAKS = "-‐­¬"
 
@@ -36,6 +37,7 @@ _SIDE = re.compile(r"^\s*[0-9০-৯०-९]+\s{2,}\S|\S\s{2,}[0-9০-৯०-९
 _EDGE = ".,;:!?।॥|\"'()[]{}“”‘’—–~•●£*/…"
 _LETTER = re.compile(r"[^\W\d_]")
 _TERMINAL = "।॥.?!"
+_VERSE = re.compile(r"[।॥.,;?!]\s*$")
 
 
 def nfc(text: str) -> str:
@@ -109,10 +111,12 @@ def asked(text: str, known: frozenset[str] | set[str]) -> set[tuple[str, str]]:
                     out.update(("w", x) for x in c.split("-") if x and x not in known)
         last = words[-1]
         if len(last) > 1 and last[-1] in BREAKS:
-            for nxt in filled[i + 1 : i + 4]:
+            for nxt in filled[i + 1 :]:  # as far as a line that can be no header
                 head, tail = last[:-1].lstrip(_EDGE), nxt[0].rstrip(_EDGE)
                 out |= {("j", head + tail), ("k", head + "-" + tail), ("j", (head + tail).lower()), ("w", head), ("w", tail)}
-        if len(words) <= 7 and words[-1][-1] not in _TERMINAL and (key := line_key(" ".join(words))):
+                if len(nxt) > HEADER_WORDS:
+                    break
+        if len(words) <= HEADER_WORDS and words[-1][-1] not in _TERMINAL and (key := line_key(" ".join(words))):
             out.add(("h", key))
     return out
 
@@ -152,7 +156,9 @@ def page_facts(pages: DataFrame, documents: DataFrame, common_words: DataFrame,
 
 # --- the line model ---------------------------------------------------------------------------------------
 
-STATES = ("body", "header", "pageno")
+STATES = ("body", "break", "header", "pageno")
+#: States of running text.
+RUNNING = ("body", "break")
 
 
 def line_features(lines: list[str], facts: dict[tuple[str, str], int], title: str) -> tuple[list[int], list[list[str]]]:
@@ -163,8 +169,16 @@ def line_features(lines: list[str], facts: dict[tuple[str, str], int], title: st
     for k, i in enumerate(filled):
         x = lines[i].strip()
         words = x.split()
-        key = line_key(x) if len(words) <= 8 else ""
+        key = line_key(x) if len(words) <= HEADER_WORDS else ""
         shapes.append((x, words, key, bool(_PAGENO.match(x))))
+    # lines between blank lines, and whether most of them end like verse
+    blocks = [0] * len(filled)
+    for k in range(1, len(filled)):
+        blocks[k] = blocks[k - 1] + (filled[k] != filled[k - 1] + 1)
+    members: dict[int, list[bool]] = defaultdict(list)
+    for k, b in enumerate(blocks):
+        members[b].append(bool(_VERSE.search(shapes[k][0])))
+    verse = {b: len(ends) > 1 and sum(ends[:-1]) >= 0.6 * (len(ends) - 1) for b, ends in members.items()}
     out = []
     for k, i in enumerate(filled):
         x, words, key, pageno = shapes[k]
@@ -178,12 +192,16 @@ def line_features(lines: list[str], facts: dict[tuple[str, str], int], title: st
         gap_after = k + 1 == len(filled) or filled[k + 1] != i + 1
         prev_end = "s" if k == 0 else "t" if shapes[k - 1][0][-1] in _TERMINAL else "p" if shapes[k - 1][3] else "-"
         short = len(x) < 0.62 * usual
+        verse_end = k > 0 and bool(_VERSE.search(shapes[k - 1][0]))
+        prev_short = k > 0 and len(shapes[k - 1][0]) < 0.8 * usual
+        indent = lines[i][:1] in " \t\u3000"
         place = f"{'T' if top == 0 else 'B' if bottom == 0 else 'u' if top == 1 else 'v' if bottom == 1 else 'm'}"
         f = [
             "1", f"n{size}", f"end{end}", f"pl{place}", f"pn{pageno}", f"pn{pageno}{place}", f"pn{pageno}{n}", f"side{bool(_SIDE.search(x))}", f"seen{min(seen, 4)}",
             f"ti{titled}", f"ti{titled}{end}", f"g{gap_before:d}{gap_after:d}", f"sh{short:d}", f"pe{prev_end}", f"np{k + 1 < len(filled) and shapes[k + 1][3]:d}",
             f"pl{place}n{size}{end}", f"pl{place}n{size}{end}s{min(seen, 3)}", f"sh{short:d}{place}{end}{prev_end}", f"seen{min(seen, 3)}{end}{size}",
             f"up{x.upper() == x and x.lower() != x:d}", f"dig{any(c.isdigit() for c in x):d}{size}{end}", f"g{gap_before:d}{gap_after:d}{place}{size}{end}",
+            f"par{gap_before:d}", f"par{gap_before:d}{prev_end}{prev_short:d}", f"vs{verse[blocks[k]]:d}{verse_end:d}", f"vs{verse[blocks[k]]:d}{verse_end:d}{gap_before:d}{prev_end}", f"in{indent:d}{gap_before:d}",
             f"cap{x[:1].isupper():d}{place}{size}{end}", f"np{k + 1 < len(filled) and shapes[k + 1][3]:d}{size}{end}{prev_end}",
         ]
         out.append(f)
@@ -208,7 +226,7 @@ class LineModel:
 
     def __init__(self) -> None:
         self.w: dict[tuple[str, str], float] = defaultdict(float)
-        self.w.update({("pageno", "pnTrue"): 2.0, ("body", "pnFalse"): 1.0, ("body", "n8+"): 1.0, ("header", "tiTrue"): 2.0, ("header", "sideTrue"): 1.0, ("header", "seen4"): 1.0})
+        self.w.update({("pageno", "pnTrue"): 2.0, ("body", "pnFalse"): 1.0, ("body", "n8+"): 1.0, ("header", "tiTrue"): 2.0, ("header", "sideTrue"): 1.0, ("header", "seen4"): 1.0, ("break", "par1"): 1.5, ("break", "vs11"): 1.5, ("break", "pnFalse"): 0.5, ("break", "n8+"): 1.0})
         self.t: dict[tuple[str, str], float] = defaultdict(float)
 
     def freeze(self) -> "LineModel":
@@ -280,11 +298,13 @@ class LineModel:
 
 
 def gold_labels(lines: list[str], filled: list[int], gold: str) -> list[str]:
-    """State of each line by the page's gold text: what the gold text lacks is header or page number."""
+    """State of each line by the page's gold text: what the gold text lacks is header or page number, what begins one of its lines is a break."""
     flat = " ".join(nfc(gold).split())
     words = set(flat.split())
+    begun = [x.split() for x in nfc(gold).split("\n") if x.strip()]
+    firsts, seconds = {tuple(x[:2]) for x in begun}, {tuple(x[1:3]) for x in begun if len(x) > 2}
     out = []
-    for i in filled:
+    for k, i in enumerate(filled):
         own = lines[i].split()
         kept = sum(w in words for w in own) / len(own)
         if " ".join(own) in flat and not (_PAGENO.match(lines[i].strip()) and kept < 1):
@@ -294,6 +314,8 @@ def gold_labels(lines: list[str], filled: list[int], gold: str) -> list[str]:
         else:
             pairs = [f" {a} {b} " in f" {flat} " for a, b in zip(own, own[1:])]
             out.append("body" if len(own) > 5 or own[-1][-1] in _TERMINAL or (sum(pairs) >= 0.34 * len(pairs) if pairs else kept == 1) else "header")
+        if out[-1] == "body" and (tuple(own[:2]) in firsts or (len(own) > 2 and tuple(own[1:3]) in seconds) or (len(own) == 1 and any(x[0] == own[0] for x in begun))):
+            out[-1] = "break"
     return out
 
 
@@ -353,9 +375,9 @@ def read_page(raw: str, facts: dict, title: str, model: LineModel) -> tuple[list
     filled, rows = line_features(lines, facts, title)
     states = model.decode(rows)
     for k, i in enumerate(filled):  # a page number is what looks like one
-        if (states[k] == "pageno") != (states[k] != "body" and bool(_PAGENO.match(lines[i].strip()))):
+        if (states[k] == "pageno") != (states[k] not in RUNNING and bool(_PAGENO.match(lines[i].strip()))):
             states[k] = "body" if states[k] == "pageno" else "pageno"
-    body = [i for i, s in zip(filled, states) if s == "body"]
+    body = [i for i, s in zip(filled, states) if s in RUNNING]
     broken = {}
     for a, b in zip(body, body[1:]):
         words = lines[a].split()
@@ -374,7 +396,7 @@ def findings(raw: str, facts: dict, title: str, model: LineModel) -> list[tuple[
     goes_on = set(broken.values())
     out = []
     for i, state in zip(filled, states):
-        if state != "body":
+        if state not in RUNNING:
             out.append((i + 1, state))
             continue
         if i in broken:
@@ -387,40 +409,29 @@ def findings(raw: str, facts: dict, title: str, model: LineModel) -> list[tuple[
     return out
 
 
-_VERSE = re.compile(r"[।॥.,;?!]\s*$")
-
-
 def repaired(raw: str, facts: dict, title: str, model: LineModel) -> str:
     """Running text of a page: headers and page numbers gone, broken words joined, misread words replaced where the facts name a correction (role f), one
     line per paragraph or verse line."""
     lines, filled, states, broken = read_page(raw, facts, title, model)
-    body = [i for i, s in zip(filled, states) if s == "body"]
+    body = [(i, s == "break") for i, s in zip(filled, states) if s in RUNNING]
     fixes = {word.split("\t")[0]: word.split("\t")[1] for role, word in facts if role == "f"}
     goes_on = set(broken.values())
-    blocks: list[list[int]] = []
-    for k, i in enumerate(body):
-        prev = body[k - 1] if k else None
-        blank = prev is not None and any(not lines[x].strip() for x in range(prev + 1, i))
-        noise = prev is not None and any(lines[x].strip() for x in range(prev + 1, i))
-        ended = prev is not None and lines[prev].rstrip()[-1] in _TERMINAL
-        if prev is None or (blank and i not in goes_on and (ended or not noise)):
-            blocks.append([])
-        blocks[-1].append(i)
-    paragraphs = []
-    for block in blocks:
-        verse = len(block) > 1 and sum(bool(_VERSE.search(lines[i])) for i in block[:-1]) >= 0.6 * (len(block) - 1)
-        text = ""
-        for i in block:
-            words = lines[i].split()
-            words = [w.replace(core(w), fixes[core(w)]) if core(w) in fixes and _unknown(w, facts) else w for w in words]
-            line = " ".join(words)
-            if i in broken:
-                line = line[:-1] + "\u0000"
-            text += line + ("\n" if verse and not re.search(r"[^।॥.,;?!]$", line) else " ")
-        text = text.replace("\u0000\n", "").replace("\u0000 ", "").replace("\u0000", "")
-        text = re.sub(rf"(?<=\S)[{BREAKS}][ \n](?=\S)", "-", text)
-        paragraphs.append("\n".join(" ".join(x.split()) for x in text.split("\n") if x.strip()))
-    return "\n\n".join(paragraphs)
+    text, prev = "", None
+    for i, begins in body:
+        words = [w.replace(core(w), fixes[core(w)]) if core(w) in fixes and _unknown(w, facts) else w for w in lines[i].split()]
+        line = " ".join(words)
+        if prev is not None:
+            if i in goes_on:
+                text = text[:-1]  # without the sign of the break
+            elif begins:
+                text += "\n\n" if any(not lines[x].strip() for x in range(prev + 1, i)) else "\n"
+            elif not re.search(rf"\S\S*[{BREAKS}]$", text) or not core(text.rsplit(None, 1)[-1]):
+                text += " "
+            elif text[-1] != "-":
+                text = text[:-1] + "-"
+        text += line
+        prev = i
+    return "\n".join(" ".join(x.split()) for x in text.split("\n"))
 
 
 def _joined(pages: DataFrame, facts: DataFrame) -> DataFrame:
@@ -457,8 +468,20 @@ def noisy_lines(pages: DataFrame, documents: DataFrame, gold_pages: DataFrame, c
     return _joined(pages, facts).mapInPandas(run, "document_id string, page_no int, line_no int, kind string").distinct()
 
 
-def deletions(word: str) -> list[str]:
-    return [word, *{word[:i] + word[i + 1 :] for i in range(len(word))}]
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
+def deletion_keys(word: str) -> list[int]:
+    """Hashes of the word and of the word without each of its characters, in time linear in its length."""
+    before = [0]
+    for c in word:
+        before.append((before[-1] * _BASE + ord(c)) % _PRIME)
+    out, after, power = {before[-1]}, 0, 1
+    for i in range(len(word) - 1, -1, -1):  # ``after`` is the hash of what follows i, ``power`` is _BASE to its length
+        out.add((before[i] * power + after) % _PRIME)
+        after = (after + ord(word[i]) * power) % _PRIME
+        power = power * _BASE % _PRIME
+    return sorted(out)
 
 
 def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
@@ -466,12 +489,10 @@ def corrections(unknown: DataFrame, words: DataFrame) -> DataFrame:
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pdf[(pdf["word"].str.len() >= 3) & (pdf["word"].str.len() <= 40)].copy()
-            out["part"] = [deletions(w) for w in out["word"]]
-            yield out.explode("part")
+            yield pdf.assign(part=[deletion_keys(w) for w in pdf["word"]])
 
-    left = unknown.select("word").distinct().mapInPandas(spread, "word string, part string")
-    right = words.select(F.col("word"), "n").mapInPandas(spread, "word string, n long, part string").select(F.col("word").alias("fix"), "n", "part")
+    left = unknown.select("word").distinct().mapInPandas(spread, "word string, part array<long>").withColumn("part", F.explode("part"))
+    right = words.select(F.col("word"), "n").mapInPandas(spread, "word string, n long, part array<long>").withColumn("part", F.explode("part")).select(F.col("word").alias("fix"), "n", "part")
     near = left.join(right, "part").where((F.levenshtein("word", "fix", 1) >= 0) & (F.col("word") != F.col("fix")))
     return near.groupBy("word").agg(F.max(F.struct("n", "fix")).alias("m")).select("word", "m.fix")
 

@@ -40,6 +40,36 @@ def test_trees_learn_and_calibrate():
     assert (p.argmax(1) == y[500:]).mean() > 0.93 and np.allclose(p.sum(1), 1)
 
 
+def test_holdout_accuracy_without_holdout_in_training():
+    common = frozenset(w for ws in COMMON.values() for w in ws)
+    made = []
+    rng = random.Random(4)
+    for _ in range(60):
+        made.append("\n".join(rng.choice([EN, BN, HI, MR]) for _ in range(3)))
+        made.append("\n".join(rng.choice(["নদী", "lamp rope", "पानी", "• कलम", "গাছ পাতা"]) for _ in range(20)))
+        made.append("\n".join(" | ".join(str(rng.randrange(999)) for _ in range(4)) for _ in range(8)))
+        made.append("\n".join("".join(rng.choice("#$%^&*{}[]~ ") for _ in range(40)) for _ in range(5)))
+    x = np.array([quality.features(t, common) for t in made])
+    model = quality.fit_kinds(x, common)
+    hx = np.array([quality.features(t, common) for t, _ in HOLDOUT])
+    right = [quality.KINDS[k] == kind for k, (_, kind) in zip(model.predict(hx).argmax(1), HOLDOUT)]
+    assert sum(right) >= 0.85 * len(right)
+
+
+def test_holdout_is_never_fitted(monkeypatch):
+    common = frozenset(w for ws in COMMON.values() for w in ws)
+    fitted = []
+    fit = BoostedTrees.fit
+    monkeypatch.setattr(BoostedTrees, "fit", lambda self, x, y, k: fitted.extend(map(tuple, x)) or fit(self, x, y, k))
+    quality.fit_kinds(np.empty((0, len(quality.FEATURES))), common)
+    held = {tuple(quality.features(t, common)) for t, _ in HOLDOUT}
+    assert fitted and not held & set(fitted)
+
+
+def test_characters_beyond_the_basic_blocks_have_a_class():
+    assert quality.features("川のほとりの村です", frozenset())[quality.FEATURES.index("letter_share")] > 0.9
+
+
 def test_classify_pages(spark):
     rows = [(f"d{i}", 1, t) for i, (t, _) in enumerate(HOLDOUT)] * 2 + [("empty", 1, ""), ("blank", 1, " \n "), ("null", 1, None), ("long", 1, EN * 3000), (None, None, EN)]
     pages = spark.createDataFrame(rows, "document_id string, page_no int, raw_text string").selectExpr("*", "'x' as kind", "1.0 as f")
@@ -217,3 +247,43 @@ def test_segments_of_a_page(spark, profiles):
     two = [r for r in out if r["page_no"] == 2]
     assert [(r["language"], r["n_words"]) for r in two] == [("bn", 2 * len(BN.split()) + 2)] and len(out) == 4
     assert langid.page_segments(pages.limit(0), profiles, frozenset()).count() == 0
+
+
+# --- problem 1, paragraphs -------------------------------------------------------------------------------------
+
+
+def test_breaks_make_the_paragraphs():
+    rng = random.Random(3)
+    sample = []
+    for p in range(40):
+        lines, gold = [], []
+        for _ in range(4):
+            words = [rng.choice(BOOK).strip("।") for _ in range(rng.randrange(12, 30))]
+            words[-1] += "।"
+            gold.append(" ".join(words))
+            rows = [words[i : i + 7] for i in range(0, len(words), 7)]
+            lines += ["   " + " ".join(rows[0])] + [" ".join(r) for r in rows[1:]]
+        sample.append(("\n".join(lines + [f"- {p} -"]), "\n".join(gold), {}, ""))
+    model = scan_noise.train_lines(sample[:30])
+    same = [[" ".join(x.split()) for x in scan_noise.repaired(raw, facts, title, model).split("\n")] == gold.split("\n") for raw, gold, facts, title in sample[30:]]
+    assert sum(same) >= 9
+    labels = scan_noise.gold_labels(sample[0][0].split("\n"), list(range(sample[0][0].count("\n") + 1)), sample[0][1])
+    assert labels.count("break") == 4 and labels[-1] == "pageno"
+
+
+def test_deletion_keys_meet_at_one_edit():
+    rng = random.Random(2)
+    for _ in range(200):
+        word = "".join(rng.choice("abকখ") for _ in range(rng.randrange(1, 9)))
+        at = rng.randrange(len(word))
+        for other in (word[:at] + word[at + 1 :], word[:at] + "x" + word[at + 1 :], word[:at] + "x" + word[at:]):
+            assert set(scan_noise.deletion_keys(word)) & set(scan_noise.deletion_keys(other))
+    assert set(scan_noise.deletion_keys("ab")) == {*scan_noise.deletion_keys("ab")} and len(scan_noise.deletion_keys("x" * 100_000)) == 2
+
+
+def test_corrections_of_short_and_long_words(spark):
+    long = "".join(random.Random(1).choice("abcdefgh") for _ in range(60))
+    words = spark.createDataFrame([("at", 9), ("river", 5), (long, 3)], "word string, n long")
+    unknown = spark.createDataFrame([("ab",), ("rivr",), (long[:30] + "z" + long[31:],)], "word string")
+    got = {r["word"]: r["fix"] for r in scan_noise.corrections(unknown, words).collect()}
+    assert got == {"ab": "at", "rivr": "river", long[:30] + "z" + long[31:]: long}
