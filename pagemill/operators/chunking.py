@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.operators.pages import first_pages
+
 TARGET, MAX_CHARS, MIN_CHARS, OVERLAP = 400, 700, 80, 60
 #: Sentence terminators and brackets. Fixed values.
 TERMINATORS = "।৤৥?!"
@@ -118,11 +120,10 @@ def skipped_pages(pages: DataFrame) -> DataFrame:
 
 def chunk_metrics(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per document: chunks, pages_chunked, pages_skipped, skipped (the first 50 page numbers), and mean (one decimal), least and most characters of its chunks (0 when none)."""
-    own = pages.groupBy("document_id").agg(
-        F.sum((F.col("text").isNotNull() & F.coalesce("trustworthy", F.lit(False))).cast("long")).alias("pages_usable"),
-        F.slice(F.array_sort(F.collect_set(F.when(F.col("text").isNull() | ~F.coalesce("trustworthy", F.lit(False)), F.col("page_no")))), 1, 50).alias("skipped"),
-        F.sum((F.col("text").isNull() | ~F.coalesce("trustworthy", F.lit(False))).cast("long")).alias("pages_skipped"),
-    )
+    out = F.col("text").isNull() | ~F.coalesce("trustworthy", F.lit(False))
+    counts = pages.groupBy("document_id").agg(F.sum(out.cast("long")).alias("pages_skipped"))
+    numbers = first_pages(pages.where(out).select("document_id", "page_no").distinct(), 50)
+    own = counts.join(numbers, "document_id", "left").withColumn("skipped", F.coalesce("first_pages", F.array().cast("array<int>")))
     sizes = chunks.groupBy("document_id").agg(
         F.count("*").alias("chunks"), F.countDistinct("page_no").alias("pages_chunked"), F.avg("n_chars").alias("mean_chars"), F.min("n_chars").alias("min_chars"), F.max("n_chars").alias("max_chars"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

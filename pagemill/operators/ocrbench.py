@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import script as S
 from pagemill.functions.tokens import error_rates, similarity
+from pagemill.operators.pages import first_pages
 
 #: The engine that isn't one: it takes no part in agreement.
 BASELINE = "textlayer"
@@ -74,3 +75,22 @@ def high_error(scores: DataFrame) -> DataFrame:
 def uncached(pages: DataFrame, results: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
     """Pages and engines without a stored result; all of them with force."""
     return pages if force else pages.join(results.select(*keys, "engine"), [*keys, "engine"], "left_anti")
+
+
+def side_by_side(outputs: DataFrame, keys: list[str], most: int = 12) -> DataFrame:
+    """keys, compared: the first ``most`` lines of each engine's output of a page, engines in order of their names."""
+    lines = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, most), "\n")
+    part = F.concat(F.lit("--- "), F.col("engine"), F.lit(" ---\n"), lines)
+    return outputs.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.struct("engine", part.alias("t"))))["t"], "\n\n").alias("compared"))
+
+
+def run_totals(results: DataFrame, document: str = "document_id") -> DataFrame:
+    """Per document of OCR results (document_id, page_no, seconds, error): pages_read, total_seconds (of the pages read, one decimal), failed, failed_pages (the first three) and status: failed when
+    any page failed, else succeeded. What was read is kept either way."""
+    bad = F.col("error").isNotNull()
+    counts = results.groupBy(document).agg(
+        F.sum((~bad).cast("long")).alias("pages_read"), F.bround(F.coalesce(F.sum(F.when(~bad, F.col("seconds"))), F.lit(0.0)), 1).alias("total_seconds"), F.sum(bad.cast("long")).alias("failed"))
+    pages = first_pages(results.where(bad), 3)
+    return counts.join(pages, document, "left").select(
+        document, "pages_read", "total_seconds", "failed", F.array_join(F.coalesce("first_pages", F.array().cast("array<int>")), ",").alias("failed_pages"),
+        F.when(F.col("failed") > 0, "failed").otherwise("succeeded").alias("status"))

@@ -25,22 +25,22 @@ def dedupe_uploads(documents: DataFrame) -> DataFrame:
 
 def listing(documents: DataFrame) -> DataFrame:
     """The summary projection, newest first."""
-    return documents.select("id", "filename", F.substring("sha256", 1, 12).alias("sha12"), "byte_size", "page_count", "language", "review_required", "uploaded_at").orderBy(F.col("uploaded_at").desc_nulls_last(), "id")
+    return documents.select("id", "filename", F.substring("sha256", 1, 12).alias("sha12"), "byte_size", "page_count", "language", "review_required", "review_note", "uploaded_at").orderBy(F.col("uploaded_at").desc_nulls_last(), "id")
 
 
 def review_queue(documents: DataFrame) -> DataFrame:
     return documents.where("review_required").select("id", "filename", "review_note", "uploaded_at").orderBy(F.col("uploaded_at").desc_nulls_last(), "id")
 
 
-def decoded_quality(pages: DataFrame) -> DataFrame:
-    """document_id, page_no, updated_at, valid, and the members of quality: numbers as double (numbers in strings too), fonts_ok, bad_fonts, samples. Invalid JSON leaves valid false and the rest null."""
+def decoded_quality(pages: DataFrame, *keep: str) -> DataFrame:
+    """document_id, page_no, updated_at, the columns ``keep``, valid, and the members of quality: numbers as double (numbers in strings too), fonts_ok, bad_fonts, samples. Invalid JSON leaves valid false and the rest null."""
     parsed = F.try_parse_json("quality")
 
     def member(name: str, kind: str):
         return F.try_variant_get(parsed, f"$.{name}", kind).alias(name)
 
     return pages.select(
-        "document_id", "page_no", "updated_at", (F.col("quality").isNotNull() & parsed.isNotNull()).alias("valid"),
+        "document_id", "page_no", "updated_at", *keep, (F.col("quality").isNotNull() & parsed.isNotNull()).alias("valid"),
         *[member(n, "double") for n in ("bengali_ratio", "initial_dependent_rate", "triple_letter_runs", "tokens", "chars")],
         member("fonts_ok", "boolean"), member("bad_fonts", "array<string>"), member("samples", "array<string>"))
 
@@ -63,28 +63,38 @@ def gate(pages: DataFrame) -> DataFrame:
     return normal.select("document_id", "page_no", good.alias("trustworthy"), (good & (latin["rate"] > S.LATIN_RATE)).alias("latin_suspect"), F.length("t").alias("chars"))
 
 
-def document_hold(gated: DataFrame) -> DataFrame:
-    """Per document: pages, trustworthy, failed, total_chars, latin_suspect pages, status (held when any page failed), review_required and review_note, the first failed pages.
+def first_pages(pages: DataFrame, most: int) -> DataFrame:
+    """document_id, first_pages: the first page numbers of each document, at most ``most``. Only so many of a document are ever together."""
+    w = Window.partitionBy("document_id").orderBy("page_no")
+    few = pages.select("document_id", "page_no").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return few.groupBy("document_id").agg(F.array_sort(F.collect_list("page_no")).alias("first_pages"))
 
-    The lists of page numbers are cut to 50 (8 in the note) because they are reports; the counts are of all pages.
-    """
-    def numbers(condition, most: int):
-        return F.slice(F.array_sort(F.collect_list(F.when(condition, F.col("page_no")))), 1, most)
 
+def document_hold(gated: DataFrame) -> DataFrame:
+    """Per document: pages, trustworthy, failed, total_chars, latin_suspect pages, failed_pages (the first 50), status (held when any page failed), review_required, review_note
+    (how many pages failed and the first 8 of them; null when none) and note (the same, or how many passed and the first 5 pages that Latin words intrude on).
+    """
     bad = ~F.col("trustworthy")
-    out = gated.groupBy("document_id").agg(
+    counts = gated.groupBy("document_id").agg(
         F.count("*").alias("pages"), F.sum(F.col("trustworthy").cast("long")).alias("trustworthy"), F.sum(bad.cast("long")).alias("failed"),
-        F.sum("chars").alias("total_chars"), F.sum(F.col("latin_suspect").cast("long")).alias("latin_suspect"), numbers(bad, 50).alias("failed_pages"))
+        F.sum("chars").alias("total_chars"), F.sum(F.col("latin_suspect").cast("long")).alias("latin_suspect"))
+    failed = first_pages(gated.where(bad), 50).withColumnRenamed("first_pages", "failed_pages")
+    latin = first_pages(gated.where("latin_suspect"), 5).withColumnRenamed("first_pages", "latin_pages")
+    out = counts.join(failed, "document_id", "left").join(latin, "document_id", "left").withColumn("failed_pages", F.coalesce("failed_pages", F.array().cast("array<int>")))
     held = F.col("failed") > 0
+    numbers = lambda c: F.array_join(c, ", ")
+    review = F.concat(F.col("failed").cast("string"), F.lit(" page(s) failed the text check (pages "), numbers(F.slice("failed_pages", 1, 8)), F.lit(")"))
+    passed = F.concat(
+        F.col("trustworthy").cast("string"), F.lit(" of "), F.col("pages").cast("string"), F.lit(" pages passed the text check"),
+        F.when(F.col("latin_suspect") > 0, F.concat(F.lit("; Latin words intrude on "), F.col("latin_suspect").cast("string"), F.lit(" page(s) (pages "), numbers(F.col("latin_pages")), F.lit(")"))).otherwise(F.lit("")))
     return out.select(
         "document_id", "pages", "trustworthy", "failed", "total_chars", "latin_suspect", "failed_pages",
-        F.when(held, "held").otherwise("succeeded").alias("status"), held.alias("review_required"),
-        F.when(held, F.concat(F.col("failed").cast("string"), F.lit(" pages failed the text check"))).alias("review_note"))
+        F.when(held, "held").otherwise("succeeded").alias("status"), held.alias("review_required"), F.when(held, review).alias("review_note"), F.when(held, review).otherwise(passed).alias("note"))
 
 
-def probe_verdict(pages: DataFrame, first_pages: int = 6) -> DataFrame:
+def probe_verdict(pages: DataFrame, most: int = 6) -> DataFrame:
     """document_id, verdict over the text of the first six pages (joined by line feeds): UNTRUSTWORTHY for a bad font or corrupt spelling, NOT BENGALI, NO TEXT LAYER, plausible."""
-    first = pages.where(F.col("page_no") <= first_pages)
+    first = pages.where(F.col("page_no") <= most)
     joined = first.groupBy("document_id").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("raw_text", F.lit("")).alias("t"))))["t"], "\n").alias("t"),
         F.max(F.length(S.trim_ws(F.coalesce("raw_text", F.lit(""))))).alias("longest"), F.bool_or(~F.coalesce("fonts_ok", F.lit(True))).alias("bad_font"))

@@ -159,8 +159,14 @@ def model_guard(hits: DataFrame, model: str) -> DataFrame:
     return hits.where(F.col("model").isNull() | (F.col("model") == "") | (F.col("model") == model))
 
 
+def rerank_all(scored: DataFrame, keys: list[str], k: int = RERANK_K) -> DataFrame:
+    """Scored hits of many questions with gate_score (the re-ranker's score, or else the dense one) and place: the best ``k`` of each; ties keep the dense order, then that of the ids."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("gate_score"), F.desc("score"), "chunk_id")
+    return scored.withColumn("gate_score", F.coalesce("rerank_score", "score")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def rerank(hits: DataFrame, question: str, reranker: Reranker, k: int = RERANK_K) -> DataFrame:
-    """The best ``k`` hits by the gate score (the re-ranker's score, or else the dense one); ties keep the dense order."""
+    """The best ``k`` hits of one question, best first."""
     scored = reranker.score(hits, question).withColumn("gate_score", F.coalesce("rerank_score", "score"))
     return scored.orderBy(F.desc("gate_score"), F.desc("score"), "chunk_id").limit(k)
 

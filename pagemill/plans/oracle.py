@@ -1,6 +1,7 @@
 """DuckDB SQL that must give the same rows as the core queries, over the same whole tables.
 
-Left without SQL, and tested against brute force instead: the chunker (a sequential fold) and the edit-distance measures (DuckDB counts bytes, not code points).
+Left without SQL, and tested against brute force instead: the chunker (a sequential fold) and word error rates. DuckDB's edit distance counts bytes, so for the character measures the
+different characters of a pair of texts are first mapped to single bytes.
 """
 
 from pagemill.operators.stages import STAGES
@@ -64,7 +65,7 @@ _QUESTIONS = f"""
 sc AS (SELECT document_id AS question, id AS chunk_id, page_no, text, 1 / (1.0::DOUBLE + page_no + ordinal) AS gate_score FROM c WHERE text IS NOT NULL),
 sp AS (SELECT *, 'S' || n AS span_id FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY gate_score DESC, chunk_id) AS n FROM sc) WHERE n <= 5),
 dq AS (SELECT id AS question, filename, ('0x' || substring(sha256, 1, 2))::INTEGER AS byte FROM documents),
-gv AS (SELECT question, list({{'span_id': span_id, 'quote': substring(text, 1, 80)}} ORDER BY span_id) AS s FROM sp GROUP BY question),
+gv AS (SELECT question, list({{'span_id': span_id, 'quote': text}} ORDER BY span_id) AS s FROM sp GROUP BY question),
 cl AS (
   SELECT question, byte, CASE
     WHEN byte < 64 THEN []
@@ -129,6 +130,32 @@ ou AS (
   SELECT document_id, page_no, 'scan' AS engine, raw_text AS text FROM gp UNION ALL SELECT document_id, page_no, 'normal', text FROM gp
   UNION ALL SELECT document_id, page_no, 'textlayer', regexp_replace(raw_text, '^[^\\n]*\\n', '') FROM gp)"""
 
+
+
+def _one_line(x: str) -> str:
+    return _trim(f"regexp_replace(nfc_normalize(coalesce({x}, '')), '{_WS}+', ' ', 'g')")
+
+
+_BYTES = "".join(f"chr({i})" + " || " * (i < 127) for i in range(1, 128))
+
+
+def _edits(source: str, keep: str) -> str:
+    """CTEs ending in ``ed``: ``keep``, x, y and the edit distance n of the columns x and y of ``source``, in characters."""
+    return f"""
+e0 AS (SELECT {keep}, x, y, array_to_string(list_distinct(string_split(x || y, '')), '') AS cs FROM {source}),
+ed AS (SELECT {keep}, x, y, levenshtein(translate(x, cs, substring({_BYTES}, 1, length(cs))), translate(y, cs, substring({_BYTES}, 1, length(cs)))) AS n FROM e0)"""
+
+
+_CER = f"""{_GOLD},
+cp AS (SELECT ou.document_id, ou.page_no, engine, {_one_line('g.gold_text')} AS x, {_one_line('ou.text')} AS y FROM ou JOIN gold_pages g ON g.document_id = ou.document_id AND g.page_no = ou.page_no AND g.gold_text IS NOT NULL),
+{_edits('cp', 'document_id, page_no, engine')},
+ce AS (SELECT document_id, page_no, engine, CASE WHEN length(x) > 0 THEN n / length(x) END AS cer FROM ed)"""
+_PAIRS = f"""{_GOLD},
+pp AS (SELECT a.document_id, a.page_no, a.engine AS engine_a, b.engine AS engine_b, {_one_line('a.text')} AS x, {_one_line('b.text')} AS y FROM ou a JOIN ou b ON a.document_id = b.document_id AND a.page_no = b.page_no AND a.engine < b.engine),
+{_edits('pp', 'document_id, page_no, engine_a, engine_b')},
+co AS (SELECT document_id, page_no, engine_a, engine_b, round(1 - n / greatest(length(x), length(y), 1), 6) AS similarity FROM ed),
+ow AS (SELECT * FROM co WHERE engine_a <> 'textlayer' AND engine_b <> 'textlayer')"""
+
 _SCORED = f"""{_C},
 be AS (SELECT document_id, count(*) / (1.0::DOUBLE + max(page_no) + count(*)) AS best FROM c GROUP BY document_id),
 s AS (SELECT NOT review_required AS answerable, best FROM documents d LEFT JOIN be ON be.document_id = d.id)"""
@@ -141,11 +168,19 @@ sw AS (
 
 _PAGE = "document_id, page_no"
 
+_POINTS = f"""
+{_C}, fi AS (SELECT vectors_path, arg_max(model, created_at) AS model, arg_max(dim, created_at) AS dim FROM document_embeddings GROUP BY 1),
+vv AS (SELECT chunk_id, arg_max(model, (vectors_path, row_no)) AS model, arg_max(dense, (vectors_path, row_no)) AS dense FROM vector_rows JOIN fi USING (vectors_path) WHERE len(dense) = dim GROUP BY 1),
+hh AS (SELECT c.*, vv.model, vv.dense, sha1(unhex('6f1d3c2e4a5b4c7d8e9f0a1b2c3d4e5f') || encode(c.id)) AS h FROM vv JOIN c ON c.id = vv.chunk_id),
+bp AS (
+  SELECT substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || substring('89ab', (('0x' || substring(h, 17, 1))::INTEGER & 3) + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS point_id,
+         hh.dense, hh.id AS chunk_id, document_id, filename, language, page_no, ordinal, char_start, char_end, hh.text AS text, model FROM hh LEFT JOIN documents d ON d.id = hh.document_id)"""
+
 ORACLE = {
     "dedupe_uploads": """
 SELECT id, kept_id, id = kept_id AS created FROM (
   SELECT id, CASE WHEN sha256 IS NULL THEN id ELSE first_value(id) OVER (PARTITION BY sha256 ORDER BY uploaded_at ASC NULLS LAST, id) END AS kept_id FROM documents)""",
-    "document_listing": "SELECT id, filename, substring(sha256, 1, 12) AS sha12, byte_size, page_count, language, review_required, uploaded_at FROM documents",
+    "document_listing": "SELECT id, filename, substring(sha256, 1, 12) AS sha12, byte_size, page_count, language, review_required, review_note, uploaded_at FROM documents",
     "review_queue": "SELECT id, filename, review_note, uploaded_at FROM documents WHERE review_required",
     "page_details": f"WITH {_P} SELECT {_PAGE}, source, ocr_engine, trustworthy, length(text) AS chars FROM p",
     "page_text": f"WITH {_P} SELECT {_PAGE}, coalesce(raw_text, '') AS raw, coalesce(text, '') AS normal FROM p",
@@ -176,12 +211,14 @@ WITH {_P}, {_ortho('raw_text', '(SELECT * FROM p WHERE raw_text IS NOT NULL)')}
 SELECT {_PAGE}, tokens, len(bad) AS initial_dependent, triples AS triple_letter_runs, orphaned AS orphaned_signs, length(t) AS chars FROM o""",
     "validity_gate": f"WITH {_P}, {_GATE} SELECT * FROM g",
     "document_hold": f"""
-WITH {_P}, {_GATE}
-SELECT document_id, count(*) AS pages, count(*) FILTER (trustworthy) AS trustworthy, count(*) FILTER (NOT trustworthy) AS failed, sum(chars)::BIGINT AS total_chars,
-       count(*) FILTER (latin_suspect) AS latin_suspect, coalesce(array_to_string((list(page_no ORDER BY page_no) FILTER (NOT trustworthy))[1:50], ','), '') AS failed_pages,
-       CASE WHEN count(*) FILTER (NOT trustworthy) > 0 THEN 'held' ELSE 'succeeded' END AS status, count(*) FILTER (NOT trustworthy) > 0 AS review_required,
-       CASE WHEN count(*) FILTER (NOT trustworthy) > 0 THEN count(*) FILTER (NOT trustworthy) || ' pages failed the text check' END AS review_note
-FROM g GROUP BY document_id""",
+WITH {_P}, {_GATE}, d AS (
+  SELECT document_id, count(*) AS pages, count(*) FILTER (trustworthy) AS ok, count(*) FILTER (NOT trustworthy) AS bad, sum(chars)::BIGINT AS total_chars, count(*) FILTER (latin_suspect) AS latin,
+         list(page_no ORDER BY page_no) FILTER (NOT trustworthy) AS bp, list(page_no ORDER BY page_no) FILTER (latin_suspect) AS lp FROM g GROUP BY document_id),
+nt AS (SELECT *, CASE WHEN bad > 0 THEN bad || ' page(s) failed the text check (pages ' || array_to_string(bp[1:8], ', ') || ')' END AS review_note FROM d)
+SELECT document_id, pages, ok AS trustworthy, bad AS failed, total_chars, latin AS latin_suspect, coalesce(array_to_string(bp[1:50], ','), '') AS failed_pages,
+       CASE WHEN bad > 0 THEN 'held' ELSE 'succeeded' END AS status, bad > 0 AS review_required, review_note,
+       coalesce(review_note, ok || ' of ' || pages || ' pages passed the text check' || CASE WHEN latin > 0 THEN '; Latin words intrude on ' || latin || ' page(s) (pages ' || array_to_string(lp[1:5], ', ') || ')' ELSE '' END) AS note
+FROM nt""",
     "probe_verdict": f"""
 WITH {_P}, f6 AS (
   SELECT document_id, string_agg(coalesce(raw_text, ''), chr(10) ORDER BY page_no) AS raw_text, max(length({_trim("coalesce(raw_text, '')")})) AS longest,
@@ -210,13 +247,16 @@ SELECT {_PAGE}, CAST(length(p.text) AS INTEGER) AS page_chars, chunks, sizes FRO
 WITH {_C} SELECT id, CASE WHEN prev IS NULL THEN char_start ELSE greatest(prev, char_start - 60) END AS embed_start FROM (
   SELECT id, char_start, lag(char_start) OVER (PARTITION BY {_PAGE} ORDER BY ordinal, id) AS prev FROM c)
 """,
-    "replace_chunks": f"WITH {_C} SELECT document_id, count(*) AS chunks FROM c WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.review_required AND d.id = c.document_id) GROUP BY document_id",
+    "replace_chunks": f"""
+WITH {_P}, {_C}, x AS (SELECT id FROM documents WHERE review_required), fr AS (SELECT document_id, page_no, CAST(length(text) AS INTEGER) AS n FROM p WHERE text IS NOT NULL AND document_id IN (SELECT id FROM x))
+SELECT id, document_id, page_no, char_end FROM c WHERE document_id NOT IN (SELECT document_id FROM fr)
+UNION ALL SELECT document_id || ':' || page_no || ':0', document_id, page_no, n FROM fr""",
     "hashed_embed": f"""
 WITH {_C}, h AS (
   SELECT id, array_to_string(list_transform(range(16), lambda i: sha256(encode(coalesce(embed_text, '')) || unhex(printf('%04x', i)))), '') AS h FROM c),
 v AS (SELECT id, list_transform(range(256), lambda i: ('0x' || substring(h, 4 * i + 1, 4))::INTEGER / 32767.5 - 1) AS v FROM h),
 u AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
-SELECT id, {', '.join(f'round(v[{i}] / n, 6) AS v{i}' for i in (1, 2, 128, 256))}, len(v) AS dim FROM u""",
+SELECT id, list_transform(list_transform(v, lambda x: round(x / n, 6)), lambda x: CASE WHEN x = 0 THEN 0 ELSE x END) AS dense, len(v) AS dim FROM u""",
     "l2_normalize": """
 WITH v AS (SELECT DISTINCT vectors_path, row_no, dense::DOUBLE[] AS v FROM vector_rows WHERE dense IS NOT NULL),
 n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
@@ -229,12 +269,7 @@ WITH {_C}, h AS (SELECT id, sha1(unhex('6f1d3c2e4a5b4c7d8e9f0a1b2c3d4e5f') || en
 SELECT id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || substring('89ab', (('0x' || substring(h, 17, 1))::INTEGER & 3) + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS point_id FROM h""",
     "collection_info": "SELECT 'pages_main' AS name, count(*) > 0 AS found, max(dim) AS dim FROM vector_collections WHERE name = 'pages_main' UNION ALL SELECT 'absent', count(*) > 0, max(dim) FROM vector_collections WHERE name = 'absent'",
     "ensure_collection": "SELECT name, CASE WHEN name = 'pages_old' THEN 'bhashaki-small:64' ELSE model END AS model, CAST(CASE WHEN name = 'pages_old' THEN 128 ELSE dim END AS INTEGER) AS dim, true AS created FROM vector_collections",
-    "build_points": f"""
-WITH {_C}, fi AS (SELECT vectors_path, arg_max(model, created_at) AS model, arg_max(dim, created_at) AS dim FROM document_embeddings GROUP BY 1),
-v AS (SELECT chunk_id, arg_max(model, (vectors_path, row_no)) AS model FROM vector_rows JOIN fi USING (vectors_path) WHERE len(dense) = dim GROUP BY 1),
-h AS (SELECT c.*, v.model, sha1(unhex('6f1d3c2e4a5b4c7d8e9f0a1b2c3d4e5f') || encode(c.id)) AS h FROM v JOIN c ON c.id = v.chunk_id)
-SELECT substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || substring('89ab', (('0x' || substring(h, 17, 1))::INTEGER & 3) + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS point_id,
-       h.id AS chunk_id, document_id, filename, language, page_no, ordinal, char_start, char_end, model FROM h LEFT JOIN documents d ON d.id = h.document_id""",
+    "build_points": f"WITH {_POINTS} SELECT * FROM bp",
     "index_checks": """
 WITH fi AS (SELECT vectors_path, arg_max(document_id, created_at) AS document_id, arg_max(dim, created_at) AS dim FROM document_embeddings GROUP BY 1),
 r AS (SELECT DISTINCT vectors_path, row_no, chunk_id, len(dense) AS width FROM vector_rows),
@@ -242,9 +277,13 @@ a AS (SELECT document_id, count(*) AS rows, count(*) FILTER (width <> dim) AS wr
       FROM (SELECT r.*, fi.*, EXISTS (SELECT 1 FROM chunks c WHERE c.id = r.chunk_id) AS known FROM r JOIN fi USING (vectors_path)) GROUP BY 1)
 SELECT * FROM a WHERE wrong_width > 0 OR missing_chunks > 0""",
     "model_changes": f"WITH {_E} SELECT document_id, model FROM e WHERE model IS DISTINCT FROM 'bhashaki-small:64'",
-    "upsert_points": "SELECT vec_id, CAST(CASE WHEN label = 3 THEN 13 ELSE label END AS INTEGER) AS label FROM embeddings",
-    "delete_document": "SELECT vec_id, 'doc' || label AS document_id FROM embeddings WHERE label IS DISTINCT FROM 4",
-    "point_counts": "SELECT label, count(*) AS points FROM embeddings GROUP BY label",
+    "upsert_points": "SELECT vec_id, CAST(CASE WHEN label = 3 THEN 13 ELSE label END AS INTEGER) AS label, embedding FROM embeddings",
+    "delete_document": f"WITH {_POINTS} SELECT point_id, document_id, chunk_id, dense FROM bp WHERE document_id IS DISTINCT FROM (SELECT min(id) FROM documents)",
+    "point_counts": f"WITH {_POINTS} SELECT document_id, count(*) AS points FROM bp GROUP BY document_id",
+    "citations": f"WITH {_POINTS} SELECT chunk_id, filename, page_no, char_start, char_end FROM bp",
+    "retrieve": f"""
+WITH t AS (SELECT b.vec_id AS chunk_id, b.label, {_DOT} AS score FROM embeddings a, embeddings b WHERE a.vec_id = 7 ORDER BY {_DOT} DESC, b.vec_id LIMIT 8)
+SELECT chunk_id, label, round(score, 6) AS gate_score FROM t""",
     "dense_topk": f"SELECT b.vec_id, b.label, round({_DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 ORDER BY {_DOT} DESC, b.vec_id LIMIT 20",
     "dense_topk_filtered": f"SELECT b.vec_id, b.label, round({_DOT}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.label = 2 ORDER BY {_DOT} DESC, b.vec_id LIMIT 20",
     "knn_batch": f"WITH {_KNN.format(k=10)} SELECT q, p, round(score, 6) AS score FROM kn",
@@ -258,7 +297,7 @@ SELECT question, CAST(row_number() OVER w AS INTEGER) AS place, chunk_id, gate_s
 WITH {_CAND}, g AS (SELECT *, coalesce(rerank_score, score) AS gate_score FROM ca)
 SELECT question, count(*) AS candidates, max(gate_score) AS best_score, round_even(min(gate_score), 4) AS low, round_even(max(gate_score), 4) AS high FROM g GROUP BY question""",
     "token_overlap": f"""
-WITH {_P}, {_C}, j AS (SELECT c.id, {_CLAIM_TOKENS.format('substring(c.text, 1, 80)')} AS ct, {_CLAIM_TOKENS.format('p.text')} AS st FROM c JOIN p ON p.document_id = c.document_id AND p.page_no = c.page_no WHERE c.text IS NOT NULL AND p.text IS NOT NULL)
+WITH {_P}, {_C}, j AS (SELECT c.id, {_CLAIM_TOKENS.format('c.text')} AS ct, {_CLAIM_TOKENS.format('p.text')} AS st FROM c JOIN p ON p.document_id = c.document_id AND p.page_no = c.page_no WHERE c.text IS NOT NULL AND p.text IS NOT NULL)
 SELECT id, len(ct) AS tokens, round(CASE WHEN len(ct) > 0 THEN len(list_filter(ct, lambda w: list_contains(st, w))) / len(ct) ELSE 0 END, 6) AS overlap FROM j""",
     "span_numbers": f"WITH {_QUESTIONS} SELECT question, span_id, chunk_id FROM sp",
     "span_blocks": f"WITH {_QUESTIONS} SELECT question, string_agg('[' || span_id || '] (page ' || page_no || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS span_block FROM sp GROUP BY question",
@@ -271,6 +310,19 @@ SELECT id, len(ct) AS tokens, round(CASE WHEN len(ct) > 0 THEN len(list_filter(c
     "ocr_signals": f"""
 WITH {_GOLD}, t AS (SELECT document_id, page_no, engine, {_trim(f"regexp_replace(nfc_normalize(coalesce(text, '')), '{_WS}+', ' ', 'g')")} AS raw_text FROM ou), {_ortho('raw_text', 't', 'document_id, page_no, engine')}
 SELECT document_id, page_no, engine, length(t) AS chars, tokens, round(CASE WHEN {_count('t', _NWS)} > 0 THEN {_count('t', _BN)} / {_count('t', _NWS)} ELSE 0 END, 6) AS ratio, round(rate, 6) AS rate, triples FROM o""",
+    "cer_scores": f"WITH {_CER} SELECT document_id, page_no, engine, round(cer, 6) AS cer FROM ce",
+    "high_error": f"WITH {_CER} SELECT document_id, page_no, engine, round(cer, 6) AS cer FROM ce WHERE cer > 1",
+    "consensus": f"WITH {_PAIRS} SELECT * FROM co",
+    "worst_pairs": f"WITH {_PAIRS} SELECT document_id, page_no, arg_min(engine_a, (similarity, engine_a, engine_b)) AS engine_a, arg_min(engine_b, (similarity, engine_a, engine_b)) AS engine_b, min(similarity) AS similarity FROM ow GROUP BY ALL",
+    "mean_agreement": f"""
+WITH {_PAIRS}, b AS (SELECT document_id, page_no, engine_a AS engine, similarity FROM ow UNION ALL SELECT document_id, page_no, engine_b, similarity FROM ow)
+SELECT document_id, page_no, engine, round(avg(similarity), 6) AS agreement FROM b GROUP BY ALL""",
+    "side_by_side": f"""
+WITH {_GOLD} SELECT document_id, page_no, string_agg('--- ' || engine || ' ---' || chr(10) || array_to_string(string_split(coalesce(text, ''), chr(10))[1:12], chr(10)), chr(10) || chr(10) ORDER BY engine) AS compared FROM ou GROUP BY ALL""",
+    "ocr_totals": f"""
+WITH {_P}, o AS (SELECT document_id, page_no, length(raw_text) / 1000 AS seconds, coalesce(length({_trim('raw_text')}), 0) = 0 AS bad FROM p WHERE source = 'ocr')
+SELECT document_id, count(*) FILTER (NOT bad) AS pages_read, round_even(coalesce(sum(seconds) FILTER (NOT bad), 0), 1) AS total_seconds, count(*) FILTER (bad) AS failed,
+       coalesce(array_to_string((list(page_no ORDER BY page_no) FILTER (bad))[1:3], ','), '') AS failed_pages, CASE WHEN count(*) FILTER (bad) > 0 THEN 'failed' ELSE 'succeeded' END AS status FROM o GROUP BY document_id""",
     "engine_means": f"WITH {_P} SELECT coalesce(ocr_engine, 'none') AS engine, count(*) AS pages, round(avg(length(raw_text)), 4) AS mean_chars FROM p WHERE source = 'ocr' GROUP BY 1",
     "ocr_uncached": f"WITH {_P} SELECT {_PAGE} FROM p WHERE source IN ('needs_ocr', 'empty') OR (source = 'ocr' AND ocr_engine IS DISTINCT FROM 'tesseract')",
     "ensure_stage_runs": f"WITH {_RUNS} SELECT document_id, stage, status, attempt FROM f",
@@ -282,6 +334,18 @@ WITH {_RUNS} SELECT document_id, stage, status, blockers, (status IN ('pending',
 WITH {_RUNS}, n AS (SELECT DISTINCT document_id FROM r WHERE stage = 'normalize')
 SELECT r.document_id, stage, CASE WHEN n.document_id IS NOT NULL AND pos > 3 AND status IN ('succeeded', 'failed', 'held', 'skipped') THEN 'stale' ELSE status END AS status, attempt FROM r LEFT JOIN n USING (document_id)""",
     "stage_counts": f"WITH {_RUNS} SELECT stage, status, count(*) AS runs, sum(attempt)::BIGINT AS attempts FROM r GROUP BY ALL",
+    "run_stage": f"""
+WITH {_RUNS}, go AS (SELECT document_id FROM bl WHERE stage = 'normalize' AND status NOT IN ('running', 'succeeded') AND blockers = '')
+SELECT f.document_id, stage, CASE WHEN go.document_id IS NULL OR pos < 3 THEN status WHEN pos = 3 THEN 'succeeded' WHEN status IN ('succeeded', 'failed', 'held', 'skipped') THEN 'stale' ELSE status END AS status,
+       CAST(attempt + CASE WHEN go.document_id IS NOT NULL AND pos = 3 THEN 1 ELSE 0 END AS INTEGER) AS attempt FROM f LEFT JOIN go USING (document_id)""",
+    "advance_stages": f"""
+WITH {_RUNS}, fi AS (SELECT document_id, min(pos) FILTER (status NOT IN ('succeeded', 'skipped')) AS first FROM f GROUP BY 1),
+ok AS (SELECT f.document_id, first FROM f JOIN fi ON f.document_id = fi.document_id AND f.pos = first WHERE status IN ('pending', 'stale') OR (status = 'failed' AND attempt < 3)),
+ru AS (SELECT ok.document_id, first, coalesce(min(pos) FILTER (status = 'running' AND pos > first), 7) AS stop FROM ok JOIN f USING (document_id) GROUP BY 1, 2),
+nx AS (
+  SELECT f.document_id, CASE WHEN first IS NULL OR pos < first THEN status WHEN pos < stop THEN 'succeeded' WHEN status IN ('succeeded', 'failed', 'held', 'skipped') THEN 'stale' ELSE status END AS status,
+         attempt + CASE WHEN pos >= first AND pos < stop THEN 1 ELSE 0 END AS attempt FROM f LEFT JOIN ru USING (document_id))
+SELECT document_id, count(*) FILTER (status IN ('succeeded', 'skipped')) = 6 AS done, bool_or(status = 'held') AS held, count(*) FILTER (status = 'failed') AS failed, sum(attempt)::BIGINT AS attempts FROM nx GROUP BY 1""",
     "latest_events": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS events FROM events GROUP BY user_id",
     "delete_cascade": f"""
 WITH {_P}, {_C}, {_E}, x AS (SELECT id FROM documents WHERE review_required)

@@ -17,22 +17,24 @@ from pagemill.operators import ocrbench as O
 from pagemill.operators import pages as P
 from pagemill.operators import retrieval as R
 from pagemill.operators import stages as G
-from pagemill.plugins import HashedEmbedder
+from pagemill.plugins import HashedEmbedder, Passthrough
 from pagemill.sources.tables import read_table
 
 _KEYS = ["document_id", "page_no"]
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return P.latest(read_table(spark, d, "document_pages"), _KEYS, "updated_at")
+def _pages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest delivery of each page, with these columns alone."""
+    return P.latest(read_table(spark, d, "document_pages").select(*_KEYS, "updated_at", *columns), _KEYS, "updated_at")
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return P.latest(read_table(spark, d, "chunks"), ["id"], "created_at")
+def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The latest delivery of each chunk, with these columns alone."""
+    return P.latest(read_table(spark, d, "chunks").select("id", "created_at", *columns), ["id"], "created_at")
 
 
-def _embeddings(spark: SparkSession, d: str) -> DataFrame:
-    return P.latest(read_table(spark, d, "document_embeddings"), ["document_id"], "created_at")
+def _embeddings(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return P.latest(read_table(spark, d, "document_embeddings").select("document_id", "created_at", *columns), ["document_id"], "created_at")
 
 
 # --- documents and pages ---------------------------------------------------------------------------------
@@ -51,64 +53,64 @@ def review_queue(spark, d):
 
 
 def page_details(spark, d):
-    return _pages(spark, d).select(*_KEYS, "source", "ocr_engine", "trustworthy", F.length("text").cast("long").alias("chars"))
+    return _pages(spark, d, "source", "ocr_engine", "trustworthy", "text").select(*_KEYS, "source", "ocr_engine", "trustworthy", F.length("text").cast("long").alias("chars"))
 
 
 def page_text(spark, d):
     """The two views of a page: raw and normalised, null as empty."""
-    return _pages(spark, d).select(*_KEYS, F.coalesce("raw_text", F.lit("")).alias("raw"), F.coalesce("text", F.lit("")).alias("normal"))
+    return _pages(spark, d, "raw_text", "text").select(*_KEYS, F.coalesce("raw_text", F.lit("")).alias("raw"), F.coalesce("text", F.lit("")).alias("normal"))
 
 
 def decode_quality(spark, d):
-    q = P.decoded_quality(_pages(spark, d))
+    q = P.decoded_quality(_pages(spark, d, "quality"))
     return q.select(*_KEYS, "valid", "bengali_ratio", "initial_dependent_rate", "triple_letter_runs", "tokens", "chars", "fonts_ok")
 
 
 def pages_needing_ocr(spark, d):
-    return _pages(spark, d).where(F.col("source").isin("needs_ocr", "empty")).select(*_KEYS, "source")
+    return _pages(spark, d, "source").where(F.col("source").isin("needs_ocr", "empty")).select(*_KEYS, "source")
 
 
 def documents_without_text(spark, d):
     """Documents that normalising must refuse: pages without text, with the first five of them."""
-    bad = _pages(spark, d).where(F.col("source").isin("needs_ocr", "empty"))
-    return bad.groupBy("document_id").agg(F.count("*").alias("pages"), F.array_join(F.slice(F.array_sort(F.collect_list("page_no")), 1, 5), ",").alias("first_pages"))
+    bad = _pages(spark, d, "source").where(F.col("source").isin("needs_ocr", "empty")).select(*_KEYS)
+    counts = bad.groupBy("document_id").agg(F.count("*").alias("pages"))
+    return counts.join(P.first_pages(bad, 5), "document_id").select("document_id", "pages", F.array_join("first_pages", ",").alias("first_pages"))
 
 
 def pages_by_source(spark, d):
-    return _pages(spark, d).groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("trustworthy"), 1).otherwise(0)).alias("usable"))
+    return _pages(spark, d, "source", "trustworthy").groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.when(F.col("trustworthy"), 1).otherwise(0)).alias("usable"))
 
 
 def usable_pages(spark, d):
-    return C.usable_pages(_pages(spark, d)).select(*_KEYS)
+    return C.usable_pages(_pages(spark, d, "text", "trustworthy")).select(*_KEYS)
 
 
 # --- script and spelling ---------------------------------------------------------------------------------
 
 
 def script_ratio(spark, d):
-    return _pages(spark, d).where("raw_text is not null").select(*_KEYS, F.round(S.script_ratio(F.col("raw_text")), 6).alias("ratio"))
+    return _pages(spark, d, "raw_text").where("raw_text is not null").select(*_KEYS, F.round(S.script_ratio(F.col("raw_text")), 6).alias("ratio"))
 
 
 def orthographic_report(spark, d):
     o = S.orthography(F.col("raw_text"))
-    rows = _pages(spark, d).where("raw_text is not null").select(*_KEYS, o.alias("o"))
+    rows = _pages(spark, d, "raw_text").where("raw_text is not null").select(*_KEYS, o.alias("o"))
     return rows.select(*_KEYS, "o.tokens", "o.initial_dependent", F.round("o.rate", 6).alias("rate"), F.array_join("o.samples", " ").alias("samples"), "o.triples", "o.orphaned", S.looks_corrupt(F.col("o.rate"), F.col("o.triples")).alias("corrupt"))
 
 
 def latin_intrusion(spark, d):
     x = S.latin_intrusion(F.col("raw_text"))
-    rows = _pages(spark, d).where("raw_text is not null").select(*_KEYS, x.alias("x"))
+    rows = _pages(spark, d, "raw_text").where("raw_text is not null").select(*_KEYS, x.alias("x"))
     return rows.select(*_KEYS, "x.latin", "x.total", F.round("x.rate", 6).alias("rate"), F.array_join("x.samples", " ").alias("samples"))
 
 
 def nfc_normalize(spark, d):
-    rows = _pages(spark, d).where("raw_text is not null").select(*_KEYS, "raw_text", S.nfc(F.col("raw_text")).alias("normal"))
+    rows = _pages(spark, d, "raw_text").where("raw_text is not null").select(*_KEYS, "raw_text", S.nfc(F.col("raw_text")).alias("normal"))
     return rows.select(*_KEYS, "normal", (F.col("normal") != F.col("raw_text")).alias("changed"))
 
 
 def triage_source(spark, d):
-    q = P.decoded_quality(_pages(spark, d)).select(*_KEYS, "fonts_ok")
-    rows = _pages(spark, d).select(*_KEYS, "raw_text").join(q, _KEYS)
+    rows = P.decoded_quality(_pages(spark, d, "raw_text", "quality"), "raw_text")
     source = S.triage(F.col("raw_text"), F.col("fonts_ok"))
     return rows.select(*_KEYS, source.alias("source"), F.when(source == "textlayer", F.col("raw_text")).alias("kept_text"))
 
@@ -118,28 +120,26 @@ def triage_counts(spark, d):
 
 
 def page_measures(spark, d):
-    m = P.page_measures(_pages(spark, d))
+    m = P.page_measures(_pages(spark, d, "raw_text"))
     return m.select(*_KEYS, "tokens", "initial_dependent", "triple_letter_runs", "orphaned_signs", "chars")
 
 
 def validity_gate(spark, d):
-    return P.gate(_pages(spark, d))
+    return P.gate(_pages(spark, d, "raw_text"))
 
 
 def document_hold(spark, d):
-    h = P.document_hold(P.gate(_pages(spark, d)))
+    h = P.document_hold(P.gate(_pages(spark, d, "raw_text")))
     return h.withColumn("failed_pages", F.array_join("failed_pages", ","))
 
 
 def probe_verdict(spark, d):
-    pages = _pages(spark, d)
-    fonts = P.decoded_quality(pages).select(*_KEYS, "fonts_ok")
-    return P.probe_verdict(pages.select(*_KEYS, "raw_text").join(fonts, _KEYS))
+    return P.probe_verdict(P.decoded_quality(_pages(spark, d, "raw_text", "quality"), "raw_text"))
 
 
 def bad_fonts(spark, d):
     """Font keys that a page's quality names, with the number of pages."""
-    q = P.decoded_quality(_pages(spark, d)).select(F.explode("bad_fonts").alias("font"))
+    q = P.decoded_quality(_pages(spark, d, "quality")).select(F.explode("bad_fonts").alias("font"))
     return q.groupBy(S.font_key(F.col("font")).alias("font")).agg(F.count("*").alias("pages"), F.max(F.when(S.legacy_font(F.col("font")), 1).otherwise(0)).alias("legacy"))
 
 
@@ -150,40 +150,43 @@ def paragraph_counts(spark, d):
     """Paragraphs (spans between blank lines that aren't blank) of each page."""
     parts = F.split("text", r"\n(?U:[\s\x1c-\x1f])*\n", -1)
     filled = F.filter(parts, lambda p: p.rlike(S.NOT_WS))
-    return _pages(spark, d).where("text is not null").select(*_KEYS, F.size(filled).cast("long").alias("paragraphs"), F.coalesce(F.array_max(F.transform(filled, F.length)), F.lit(0)).cast("long").alias("longest"))
+    return _pages(spark, d, "text").where("text is not null").select(*_KEYS, F.size(filled).cast("long").alias("paragraphs"), F.coalesce(F.array_max(F.transform(filled, F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
 def chunk_pages(spark, d):
-    return C.chunk_pages(C.usable_pages(_pages(spark, d))).select("id", "ordinal", "char_start", "char_end", "text", "embed_text", "n_chars")
+    return C.chunk_pages(C.usable_pages(_pages(spark, d, "text", "trustworthy"))).select("id", "ordinal", "char_start", "char_end", "text", "embed_text", "n_chars")
 
 
 def chunk_metrics(spark, d):
-    m = C.chunk_metrics(_pages(spark, d), _chunks(spark, d).select("document_id", "page_no", (F.col("char_end") - F.col("char_start")).alias("n_chars")))
+    m = C.chunk_metrics(_pages(spark, d, "text", "trustworthy"), _chunks(spark, d, "document_id", "page_no", "char_start", "char_end").select("document_id", "page_no", (F.col("char_end") - F.col("char_start")).alias("n_chars")))
     return m.withColumn("skipped", F.array_join("skipped", ","))
 
 
 def page_report(spark, d):
-    r = C.page_report(_pages(spark, d), _chunks(spark, d).select("document_id", "page_no", "ordinal", (F.col("char_end") - F.col("char_start")).alias("n_chars")))
+    r = C.page_report(_pages(spark, d, "text"), _chunks(spark, d, "document_id", "page_no", "ordinal", "char_start", "char_end").select("document_id", "page_no", "ordinal", (F.col("char_end") - F.col("char_start")).alias("n_chars")))
     return r.withColumn("sizes", F.array_join("sizes", ","))
 
 
 def lead_ins(spark, d):
-    return C.lead_ins(_chunks(spark, d))
+    return C.lead_ins(_chunks(spark, d, "document_id", "page_no", "ordinal", "char_start"))
 
 
 def replace_chunks(spark, d):
-    """The stored chunks with those of held documents replaced by none (their chunks are deleted), counted by document."""
+    """The stored chunks with those of documents under review replaced by one chunk for each of their pages."""
     held = read_table(spark, d, "documents").where("review_required").select(F.col("id").alias("document_id"))
-    return _chunks(spark, d).join(held, "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("chunks"))
+    stored = _chunks(spark, d, "document_id", "page_no", "char_end").select("id", *_KEYS, "char_end")
+    whole = _pages(spark, d, "text").where("text is not null").join(held, "document_id", "left_semi")
+    fresh = whole.select(F.concat_ws(":", "document_id", F.col("page_no").cast("string"), F.lit("0")).alias("id"), *_KEYS, F.length("text").alias("char_end"))
+    return C.replace_documents(stored, fresh).select("id", *_KEYS, "char_end")
 
 
 # --- vectors and search ----------------------------------------------------------------------------------
 
 
 def hashed_embed(spark, d):
-    """First components of every chunk's hashed vector."""
-    rows = HashedEmbedder().embed(_chunks(spark, d).select("id", "embed_text"), "embed_text")
-    return rows.select("id", *[F.round(F.element_at("dense", i), 6).alias(f"v{i}") for i in (1, 2, 128, 256)], F.size("dense").cast("long").alias("dim"))
+    """Every chunk's hashed vector."""
+    rows = HashedEmbedder().embed(_chunks(spark, d, "embed_text").select("id", "embed_text"), "embed_text")
+    return rows.select("id", F.transform("dense", lambda x: F.round(x, 6)).alias("dense"), F.size("dense").cast("long").alias("dim"))
 
 
 def l2_normalize(spark, d):
@@ -194,7 +197,7 @@ def l2_normalize(spark, d):
 def embed_stage(spark, d):
     """Per vector file: rows, distinct widths and whether its manifest agrees with the metadata."""
     v = read_table(spark, d, "vector_rows").distinct()
-    e = _embeddings(spark, d).select("vectors_path", "document_id", "model", "dim", "n_chunks")
+    e = _embeddings(spark, d, "vectors_path", "model", "dim", "n_chunks").select("vectors_path", "document_id", "model", "dim", "n_chunks")
     agg = v.groupBy("vectors_path").agg(F.count("*").alias("rows"), F.countDistinct(F.size("dense")).alias("widths"), F.max(F.size("dense")).alias("width"))
     return e.join(agg, "vectors_path").select("document_id", "model", "rows", "widths", ((F.col("rows") == F.col("n_chunks")) & (F.col("widths") == 1) & (F.col("width") == F.col("dim"))).alias("sound"))
 
@@ -214,9 +217,12 @@ def ensure_collection(spark, d):
     return changed.select("name", "model", "dim", F.lit(made).alias("created"))
 
 
+def _points(spark, d) -> DataFrame:
+    return R.build_points(*(read_table(spark, d, t) for t in ("vector_rows", "chunks", "document_embeddings", "documents")))
+
+
 def build_points(spark, d):
-    p = R.build_points(read_table(spark, d, "vector_rows"), read_table(spark, d, "chunks"), read_table(spark, d, "document_embeddings"), read_table(spark, d, "documents"))
-    return p.select("point_id", "chunk_id", "document_id", "filename", "language", "page_no", "ordinal", "char_start", "char_end", "model")
+    return _points(spark, d).select("point_id", "dense", "chunk_id", "document_id", "filename", "language", "page_no", "ordinal", "char_start", "char_end", "text", "model")
 
 
 def index_checks(spark, d):
@@ -229,18 +235,31 @@ def model_changes(spark, d):
 
 def upsert_points(spark, d):
     """Vectors of label 3 written again under label 13; all others stay."""
-    stored = read_table(spark, d, "embeddings").select("vec_id", "label")
-    fresh = stored.where("label = 3").select("vec_id", F.lit(13).alias("label"))
+    stored = read_table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    fresh = stored.where("label = 3").select("vec_id", F.lit(13).alias("label"), "embedding")
     return R.upsert_points(stored, fresh, "vec_id")
 
 
 def delete_document(spark, d):
-    points = read_table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("doc"), F.col("label").cast("string")).alias("document_id"))
-    return R.delete_document(points, "doc4")
+    """The points without those of the first document."""
+    first = read_table(spark, d, "documents").agg(F.min("id").alias("id")).collect()[0]["id"]
+    return R.delete_document(_points(spark, d), first).select("point_id", "document_id", "chunk_id", "dense")
 
 
 def point_counts(spark, d):
-    return read_table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("points"))
+    return _points(spark, d).groupBy("document_id").agg(F.count("*").alias("points"))
+
+
+def citations(spark, d):
+    """Every point as the citation of a candidate."""
+    return R.citations(_points(spark, d)).select("citation.*")
+
+
+def retrieve(spark, d):
+    """The candidates of one question over all vectors, without a re-ranker's score."""
+    points = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense"), F.lit("bhashaki-small:64").alias("model"), "label")
+    hits = R.retrieve(points, read_table(spark, d, "vector_collections"), "pages_main", "q", _query_vector(spark, d, 7), "bhashaki-small:64", Passthrough())
+    return hits.select("chunk_id", "label", F.round("gate_score", 6).alias("gate_score"))
 
 
 def _query_vector(spark, d, vec_id: int = 0) -> list[float]:
@@ -279,11 +298,7 @@ def model_guard(spark, d):
 
 
 def rerank_sort(spark, d):
-    from pyspark.sql import Window
-
-    c = _candidates(spark, d).withColumn("gate_score", F.coalesce("rerank_score", "score"))
-    w = Window.partitionBy("question").orderBy(F.desc("gate_score"), F.desc("score"), "chunk_id")
-    return c.withColumn("place", F.row_number().over(w)).where(F.col("place") <= R.RERANK_K).select("question", "place", "chunk_id", "gate_score")
+    return R.rerank_all(_candidates(spark, d), ["question"]).select("question", "place", "chunk_id", "gate_score")
 
 
 def score_range(spark, d):
@@ -301,7 +316,7 @@ def _questions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     file name instead of a span, 128-159 mixes one true and one false quote; else it quotes each span truly. A quote is the span's whole text. Scores fall with the page.
     """
     docs = read_table(spark, d, "documents").select(F.col("id").alias("question"), "filename", F.conv(F.substring("sha256", 1, 2), 16, 10).cast("int").alias("byte"))
-    c = _chunks(spark, d).where("text is not null").select(
+    c = _chunks(spark, d, "document_id", "page_no", "ordinal", "char_start", "text").where("text is not null").select(
         F.col("document_id").alias("question"), F.col("id").alias("chunk_id"), "page_no", "char_start", "text", (1 / (F.lit(1.0) + F.col("page_no") + F.col("ordinal"))).alias("gate_score"))
     spans = A.number_spans(c)
     given = spans.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("span_id", F.col("text").alias("quote")))).alias("s"))
@@ -321,8 +336,8 @@ def _questions(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def token_overlap(spark, d):
     """Overlap of each chunk's whole text with its page text."""
-    c = _chunks(spark, d).where("text is not null").select("id", *_KEYS, F.col("text").alias("claim"))
-    p = _pages(spark, d).where("text is not null").select(*_KEYS, F.col("text").alias("span"))
+    c = _chunks(spark, d, "document_id", "page_no", "text").where("text is not null").select("id", *_KEYS, F.col("text").alias("claim"))
+    p = _pages(spark, d, "text").where("text is not null").select(*_KEYS, F.col("text").alias("span"))
     return c.join(p, _KEYS).select("id", F.size(T.claim_tokens(F.col("claim"))).cast("long").alias("tokens"), F.round(T.overlap(F.col("claim"), F.col("span")), 6).alias("overlap"))
 
 
@@ -360,7 +375,7 @@ def outcome_counts(spark, d):
 def _scored(spark, d) -> DataFrame:
     """A question for each document: answerable unless it is under review; its best score is the mean position of its chunks, null without chunks."""
     docs = read_table(spark, d, "documents").select(F.col("id").alias("document_id"), (~F.col("review_required")).alias("answerable"))
-    best = _chunks(spark, d).groupBy("document_id").agg((F.count("*") / (F.lit(1.0) + F.max("page_no") + F.count("*"))).alias("best"))
+    best = _chunks(spark, d, "document_id", "page_no").groupBy("document_id").agg((F.count("*") / (F.lit(1.0) + F.max("page_no") + F.count("*"))).alias("best"))
     return docs.join(best, "document_id", "left").select("answerable", "best")
 
 
@@ -378,7 +393,7 @@ def best_cutoff(spark, d):
 def _outputs(spark, d) -> tuple[DataFrame, DataFrame]:
     """(outputs, gold): for each gold page its stored OCR text under the engine's name, the same text after normalising as ``normal``, and the text without its first line as ``textlayer``."""
     gold = read_table(spark, d, "gold_pages").where("gold_text is not null")
-    p = _pages(spark, d).join(gold.select(*_KEYS), _KEYS, "left_semi").where("raw_text is not null")
+    p = _pages(spark, d, "raw_text", "text").join(gold.select(*_KEYS), _KEYS, "left_semi").where("raw_text is not null")
     made = {"scan": F.col("raw_text"), "normal": F.col("text"), "textlayer": F.regexp_replace("raw_text", r"^[^\n]*\n", "")}
     each = F.explode(F.array(*[F.struct(F.lit(engine).alias("engine"), text.alias("text")) for engine, text in made.items()])).alias("o")
     return p.select(*_KEYS, each).select(*_KEYS, "o.engine", "o.text"), gold
@@ -389,6 +404,21 @@ def cer_wer(spark, d):
     return O.page_scores(outputs, gold, _KEYS).select(*_KEYS, "engine", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"))
 
 
+def cer_scores(spark, d):
+    outputs, gold = _outputs(spark, d)
+    return O.page_scores(outputs, gold, _KEYS).select(*_KEYS, "engine", F.round("cer", 6).alias("cer"))
+
+
+def high_error(spark, d):
+    outputs, gold = _outputs(spark, d)
+    return O.high_error(O.page_scores(outputs, gold, _KEYS)).select(*_KEYS, "engine", F.round("cer", 6).alias("cer"))
+
+
+def side_by_side(spark, d):
+    """The first lines of each engine's output of a page, together."""
+    return O.side_by_side(_outputs(spark, d)[0], _KEYS)
+
+
 def ocr_signals(spark, d):
     outputs, _ = _outputs(spark, d)
     return O.quality_signals(outputs, _KEYS).select(*_KEYS, "engine", "chars", "tokens", F.round("ratio", 6).alias("ratio"), F.round("rate", 6).alias("rate"), "triples")
@@ -417,13 +447,20 @@ def engine_ranking(spark, d):
 
 def engine_means(spark, d):
     """Pages and mean characters by the engine that read them."""
-    p = _pages(spark, d).where("source = 'ocr'")
+    p = _pages(spark, d, "source", "ocr_engine", "raw_text").where("source = 'ocr'")
     return p.groupBy(F.coalesce("ocr_engine", F.lit("none")).alias("engine")).agg(F.count("*").alias("pages"), F.round(F.avg(F.length("raw_text")), 4).alias("mean_chars"))
 
 
+def ocr_totals(spark, d):
+    """Per document: its OCR run's pages, time, failures and status; a page's time stands for its characters, an OCR page without a text for a failure."""
+    p = _pages(spark, d, "source", "raw_text").where("source = 'ocr'")
+    failed = F.coalesce(F.length(S.trim_ws(F.col("raw_text"))), F.lit(0)) == 0
+    return O.run_totals(p.select(*_KEYS, (F.length("raw_text") / 1000).alias("seconds"), F.when(failed, "no text").alias("error")))
+
+
 def ocr_uncached(spark, d):
     """Pages that no engine has read yet, against the stored results."""
-    p = _pages(spark, d)
+    p = _pages(spark, d, "source", "ocr_engine")
     wanted = p.where(F.col("source").isin("ocr", "needs_ocr", "empty")).select(*_KEYS, F.lit("tesseract").alias("engine"))
     have = p.where("source = 'ocr'").select(*_KEYS, F.col("ocr_engine").alias("engine"))
     return O.uncached(wanted, have, _KEYS).select(*_KEYS)
@@ -465,6 +502,13 @@ def stage_counts(spark, d):
     return _runs(spark, d).groupBy("stage", "status").agg(F.count("*").alias("runs"), F.sum("attempt").cast("long").alias("attempts"))
 
 
+def run_stage(spark, d):
+    """The normalize stage run by hand for every document that may run it, with success."""
+    runs = G.ensure_stage_runs(read_table(spark, d, "documents"), _runs(spark, d))
+    wanted = read_table(spark, d, "documents").select(F.col("id").alias("document_id"), F.lit("normalize").alias("stage"))
+    return G.run_stage(runs, wanted, lambda w: w.withColumn("result", F.lit("succeeded"))).select("document_id", "stage", "status", "attempt")
+
+
 def advance_stages(spark, d):
     """Every document advanced as far as it goes, when each stage succeeds."""
     runs = G.ensure_stage_runs(read_table(spark, d, "documents"), _runs(spark, d))
@@ -479,7 +523,7 @@ def latest_events(spark, d):
 def delete_cascade(spark, d):
     """What is left of the child tables when the documents under review are deleted."""
     docs = read_table(spark, d, "documents")
-    kept, children = P.delete_documents(docs, {"document_pages": _pages(spark, d), "chunks": _chunks(spark, d), "document_embeddings": _embeddings(spark, d)}, docs.where("review_required"))
+    kept, children = P.delete_documents(docs, {"document_pages": _pages(spark, d), "chunks": _chunks(spark, d, "document_id"), "document_embeddings": _embeddings(spark, d)}, docs.where("review_required"))
     out = kept.agg(F.lit("documents").alias("table"), F.count("*").alias("rows"))
     for name, t in children.items():
         out = out.unionByName(t.agg(F.lit(name).alias("table"), F.count("*").alias("rows")))
