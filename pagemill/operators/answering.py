@@ -51,6 +51,19 @@ def check_claims(payloads: DataFrame, spans: DataFrame, question: str = "questio
         (F.col("chunk_id").isNotNull() & (raw >= GROUNDED)).alias("grounded"))
 
 
+def candidate_details(hits: DataFrame, question: str = "question", preview: int = 80) -> DataFrame:
+    """question, chunk_id, page_no, document_id and filename where given, dense_score, rerank_score and gate_score to four decimals, preview (the first ``preview`` characters on one line), best first."""
+    known = [c for c in ("document_id", "filename", "page_no") if c in hits.columns]
+    return hits.orderBy(F.desc("gate_score"), F.desc("score"), "chunk_id").select(
+        question, "chunk_id", *known, F.bround("score", 4).alias("dense_score"), F.bround("rerank_score", 4).alias("rerank_score"), F.bround("gate_score", 4).alias("gate_score"),
+        F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "), 1, preview).alias("preview"))
+
+
+def citation(hits: DataFrame) -> Column:
+    """What an answer says of a chunk it cites."""
+    return F.struct("chunk_id", *[c for c in ("filename", "page_no", "char_start", "char_end") if c in hits.columns]).alias("citation")
+
+
 def outcomes(gated: DataFrame, payloads: DataFrame, claims: DataFrame, thresholdable: bool = True, question: str = "question") -> DataFrame:
     """question, answered, text, claims_total, claims_grounded, unresolved, ungrounded, abstain_reason, warnings; reasons in order of precedence."""
     made = payloads.select(question, "payload")

@@ -13,6 +13,8 @@ from pagemill.sources.shared import write_through
 STAGES = ("extract", "ocr", "normalize", "chunk", "embed", "index")
 STATUSES = ("pending", "running", "succeeded", "failed", "skipped", "held", "stale")
 MAX_ATTEMPTS = 3
+#: What is written down of a run beside its status and attempt.
+BOOK = {"triggered_by": "string", "started_at": "timestamp", "finished_at": "timestamp", "error": "string", "metrics": "string", "output_ref": "string"}
 
 
 def position(stage: Column) -> Column:
@@ -27,7 +29,12 @@ def ensure_stage_runs(documents: DataFrame, runs: DataFrame) -> DataFrame:
     """The runs with a pending row added for every document and stage that has none. Running it again changes nothing."""
     due = documents.select(F.col("id").alias("document_id")).crossJoin(F.broadcast(stage_order(documents.sparkSession).select("stage")))  # six rows
     new = due.join(runs, ["document_id", "stage"], "left_anti").select("document_id", "stage", F.lit("pending").alias("status"), F.lit(0).alias("attempt"))
-    return runs.select("document_id", "stage", "status", "attempt").unionByName(new)
+    return runs.select("document_id", "stage", "status", "attempt", *[c for c in BOOK if c in runs.columns]).unionByName(new, allowMissingColumns=True)
+
+
+def with_book(runs: DataFrame) -> DataFrame:
+    """The runs with all columns of BOOK, null where nothing was written down."""
+    return runs.withColumns({c: F.lit(None).cast(t) for c, t in BOOK.items() if c not in runs.columns})
 
 
 def _by_document(runs: DataFrame) -> DataFrame:
@@ -69,30 +76,49 @@ def next_runnable(runs: DataFrame) -> DataFrame:
 def mark_stale(runs: DataFrame, changed: DataFrame) -> DataFrame:
     """The runs after the stages of ``changed`` (document_id, stage) gave a result: later stages that had finished or failed are stale; pending and running ones stay."""
     first = changed.groupBy("document_id").agg(F.min(position(F.col("stage"))).alias("from_pos"))
-    later = position(F.col("stage")) > F.col("from_pos")
-    return runs.join(first, "document_id", "left").select(
-        "document_id", "stage",
-        F.when(F.coalesce(later, F.lit(False)) & F.col("status").isin("succeeded", "failed", "held", "skipped"), "stale").otherwise(F.col("status")).alias("status"), "attempt")
+    later = F.coalesce(position(F.col("stage")) > F.col("from_pos"), F.lit(False)) & F.col("status").isin("succeeded", "failed", "held", "skipped")
+    return runs.join(first, "document_id", "left").withColumn("status", F.when(later, "stale").otherwise(F.col("status"))).drop("from_pos")
+
 
+def _written(rows: DataFrame, mark: str, values: dict[str, Column]) -> DataFrame:
+    """The rows with ``values`` where ``mark`` is set (columns that the rows lack are left out), without it."""
+    here = {c: F.when(F.col(mark).isNotNull(), v).otherwise(F.col(c)) for c, v in values.items() if c in rows.columns}
+    return rows.withColumns(here).drop(mark)
 
-def start(runs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The runs with the ``wanted`` ones (document_id, stage) running, one attempt further."""
-    go = wanted.select("document_id", "stage", F.lit(True).alias("go")).distinct()
-    return runs.join(go, ["document_id", "stage"], "left").select(
-        "document_id", "stage", F.when(F.col("go"), "running").otherwise(F.col("status")).alias("status"), (F.col("attempt") + F.coalesce(F.col("go").cast("int"), F.lit(0))).alias("attempt"))
+
+def start(runs: DataFrame, wanted: DataFrame, triggered_by: str = "auto") -> DataFrame:
+    """The runs with the ``wanted`` ones (document_id, stage) running, one attempt further; who started them and when is written down where there are columns for it."""
+    go = wanted.select("document_id", "stage", F.lit(True).alias("_go")).distinct()
+    none = F.lit(None)
+    return _written(runs.join(go, ["document_id", "stage"], "left"), "_go", {
+        "status": F.lit("running"), "attempt": F.col("attempt") + 1, "triggered_by": F.lit(triggered_by), "started_at": F.current_timestamp(), "finished_at": none, "error": none})
 
 
 def finish(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """The runs with results (document_id, stage, result) written: succeeded, skipped and held make later stages stale, failed does not."""
-    got = results.select("document_id", "stage", "result").dropDuplicates(["document_id", "stage"])
-    written = runs.join(got, ["document_id", "stage"], "left").select("document_id", "stage", F.coalesce("result", "status").alias("status"), "attempt")
+    """The runs with results written (document_id, stage, result, and if given error, metrics, output_ref): succeeded, skipped and held make later stages stale, failed does not. A failed run keeps
+    the metrics and the output of the one before."""
+    given = [c for c in ("error", "metrics", "output_ref") if c in results.columns]
+    got = results.select("document_id", "stage", "result", *[F.col(c).alias(f"_{c}") for c in given]).dropDuplicates(["document_id", "stage"])
+    failed = F.col("result") == "failed"
+    values = {"status": F.col("result"), "finished_at": F.current_timestamp(), "error": F.when(failed, F.col("_error")) if "error" in given else F.lit(None)}
+    values |= {c: F.when(failed, F.col(c)).otherwise(F.col(f"_{c}")) for c in ("metrics", "output_ref") if c in given}
+    written = _written(runs.join(got, ["document_id", "stage"], "left"), "result", values).drop(*[f"_{c}" for c in given])
     return mark_stale(written, got.where("result in ('succeeded', 'skipped', 'held')"))
 
 
-def run_stage(runs: DataFrame, wanted: DataFrame, stage: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
-    """Run ``stage`` for the wanted (document_id, stage) rows that may run. ``stage`` maps (document_id, stage) to (document_id, stage, result)."""
+def run_stage(runs: DataFrame, wanted: DataFrame, stage: Callable[[DataFrame], DataFrame], force: bool = False, triggered_by: str = "manual") -> DataFrame:
+    """Run ``stage`` for the wanted (document_id, stage) rows that may run. ``stage`` maps (document_id, stage) to (document_id, stage, result), and may add error, metrics and output_ref.
+
+    The result has the columns of BOOK. An exception of the stage makes its runs failed, with the message as their error.
+    """
     allowed = with_blockers(runs).where("forced" if force else "manual").join(wanted.select("document_id", "stage"), ["document_id", "stage"], "left_semi").select("document_id", "stage")
-    return finish(start(runs, allowed), stage(allowed))
+    allowed = write_through(allowed, "allowed")
+    begun = start(with_book(runs), allowed, triggered_by)
+    try:
+        results = write_through(stage(allowed), "results")
+    except Exception as problem:  # whatever the stage raised is what its runs failed of
+        results = allowed.withColumns({"result": F.lit("failed"), "error": F.lit(f"{type(problem).__name__}: {problem}")})
+    return finish(begun, results)
 
 
 def advance(runs: DataFrame, stage: Callable[[DataFrame], DataFrame], most: int = len(STAGES)) -> DataFrame:

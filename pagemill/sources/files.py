@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from datetime import datetime
 from pathlib import Path
 
 import numpy as np
@@ -13,8 +15,16 @@ from pyspark.sql import functions as F
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """path, filename, sha256, byte_size of the PDF files (by name, any case) under a folder; empty files are no uploads. The files are hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").like("%.pdf"))
+    """path, filename, sha256, byte_size of the PDF files (by name, any case) under a folder. The files are hashed where they are read; those without a byte, which no reader is
+    given, are taken from the folder's listing."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listing, bare = target.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(target, True), []
+    while listing.hasNext():
+        entry = listing.next()
+        if entry.getLen() == 0 and entry.getPath().getName().lower().endswith(".pdf"):
+            bare.append((entry.getPath().toString(),))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").like("%.pdf")).select("path", "content")
+    files = files.unionByName(spark.createDataFrame(bare, "path string").withColumn("content", F.lit(b"")))
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("byte_size"))
 
 
@@ -108,6 +118,30 @@ def pending_migrations(spark: SparkSession, names: list[str], applied: DataFrame
     return sorted(r[0] for r in have.collect())
 
 
+def migrate(spark: SparkSession, folder: str, applied: DataFrame) -> DataFrame:
+    """Run the statements of the ``.sql`` files of a folder that aren't in ``applied`` (filename, applied_at), in order of their names; gives ``applied`` with them. A statement ends with a
+    semicolon at a line's end. A file that fails stops the run; those before it count as applied."""
+    done: list[tuple[str, datetime]] = []
+    try:
+        for name in pending_migrations(spark, [p.name for p in Path(folder).glob("*.sql")], applied):
+            for statement in re.split(r";[ \t]*(?:\n|$)", (Path(folder) / name).read_text(encoding="utf-8")):
+                if statement.strip():
+                    spark.sql(statement)
+            done.append((name, datetime.now()))
+    except Exception as problem:
+        problem.add_note(f"applied before: {[n for n, _ in done]}")
+        raise
+    return applied.unionByName(spark.createDataFrame(done, "filename string, applied_at timestamp"), allowMissingColumns=True)
+
+
+def read_artifact(root: str, path: str) -> str:
+    """The text of an artifact; a path outside ``root``, whatever names it, or without a file is a LookupError."""
+    target = Path(path).resolve()
+    if not target.is_relative_to(Path(root).resolve()) or not target.is_file():
+        raise LookupError("artifact missing")
+    return target.read_text(encoding="utf-8")
+
+
 def health(spark: SparkSession) -> dict:
     """Whether the engine answers, and what it runs on."""
     return {"ok": spark.range(1).count() == 1, "spark": spark.version, "shared": spark.conf.get("spark.checkpoint.dir", None) is not None}

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a temporary
-    folder of this machine is made, and removed when Python ends.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs in this process alone (tests, a laptop) a temporary
+    folder of this machine is made, and removed when Python ends; on a cluster its unset name is an error, for executors don't see each other's disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = os.environ.get("PAGEMILL_SHARED_DIR")
     if not local:
         local = tempfile.mkdtemp(prefix="pagemill-")
@@ -49,9 +51,11 @@ def write_through(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only tasks that read the table, and the rows (ids made by
-    hashing included) are the same for every reader.
+    hashing included) are the same for every reader. The table is deleted when the session's Java process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagemill-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
