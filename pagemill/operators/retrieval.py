@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.hashing import dot, uuid5
 from pagemill.plugins import Reranker
+from pagemill.sources.shared import read_batches, write_path
 
 DENSE_K, RERANK_K = 30, 8
-#: Queries that are compared with all points in one pass; more are handled in blocks of this many.
-QUERY_BLOCK = 4096
+#: Queries and points of a block that are compared by one matrix product.
+QUERY_BLOCK, POINT_BLOCK = 2048, 16_384
 
 
 # --- collections -----------------------------------------------------------------------------------------
@@ -93,54 +94,48 @@ def knn_batch(queries: DataFrame, points: DataFrame, k: int, query_id: str, poin
     """query_id as q, point_id as p, score: for each query the ``k`` points of the largest inner product, by exact comparison; equal scores by the smaller point id. A point isn't
     its own neighbour unless ``same``.
 
-    The stated query set is broadcast in blocks of QUERY_BLOCK vectors; each task compares its points with a block by one matrix product and keeps the
-    block's best k, so only queries * k rows a task are shuffled. The width is the most frequent one of all points (of equally frequent ones the largest); null vectors and those of
-    another width take no part.
+    The stated query set is written to the shared folder; each task gathers up to POINT_BLOCK of its points and reads the queries past them in blocks of QUERY_BLOCK, one matrix product each,
+    keeping the best k of every query. The points are scanned once, nothing goes to the driver, and only queries * k rows a block of points are shuffled. The width is the most frequent one of
+    all points (of equally frequent ones the largest); null vectors and those of another width take no part.
     """
     spark = points.sparkSession
     common = points.where(f"size({vector}) > 0").groupBy(F.size(vector).alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
     width = common[0]["width"] if common else 0
-    asked = queries.where((F.size(vector) == width) & F.lit(width > 0)).select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
-    blocks: list[DataFrame] = []
+    asked = queries.where((F.size(vector) == width) & F.lit(width > 0)).select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    path = write_path(asked, "queries")
     qtype, ptype = dict(asked.dtypes)["q"], dict(points.dtypes)[point_id]
-    total = asked.count()
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-total // QUERY_BLOCK)))))
-    for b in range(max(1, -(-total // QUERY_BLOCK))):
-        rows = numbered.where(F.col("block") == b).orderBy("q").collect()
-        if not rows:
-            continue
-        sent = spark.sparkContext.broadcast(([r["q"] for r in rows], np.array([r["v"] for r in rows], dtype="f8")))
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            qs, m = sent.value
-            keep: list[pd.DataFrame] = []
-            for pdf in batches:
-                pdf = pdf[[v is not None and len(v) == width for v in pdf["v"]]]
-                if not len(pdf):
-                    continue
-                ids = pdf["p"].to_numpy()
-                score = m @ np.stack(pdf["v"].to_numpy()).astype("f8").T
-                if not same:
-                    index = {x: i for i, x in enumerate(ids)}
-                    for i, q in enumerate(qs):
-                        if q in index:
-                            score[i, index[q]] = -np.inf
-                take = min(k, score.shape[1])
-                kth = -np.partition(-score, take - 1, axis=1)[:, take - 1]
-                at = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
-                part = pd.DataFrame({"q": [qs[i] for i in at[0]], "p": ids[at[1]], "score": score[at]})
-                keep.append(part.sort_values(["q", "score", "p"], ascending=[True, False, True]).groupby("q", sort=False).head(k))
-                if len(keep) > 8:
-                    keep = [pd.concat(keep).sort_values(["q", "score", "p"], ascending=[True, False, True]).groupby("q", sort=False).head(k)]
-            if keep:
-                yield pd.concat(keep).sort_values(["q", "score", "p"], ascending=[True, False, True]).groupby("q", sort=False).head(k)
-
-        blocks.append(points.select(F.col(point_id).alias("p"), F.col(vector).alias("v")).mapInPandas(best, f"q {qtype}, p {ptype}, score double"))
-    if not blocks:
-        return spark.createDataFrame([], f"q {qtype}, p {ptype}, score double")
-    found = blocks[0]
-    for more in blocks[1:]:
-        found = found.unionAll(more)
+    order, upward = ["q", "score", "p"], [True, False, True]
+
+    def best_of(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).sort_values(order, ascending=upward, kind="stable").groupby("q", sort=False).head(k)
+
+    def compare(ids: np.ndarray, x: np.ndarray) -> Iterator[pd.DataFrame]:
+        index = {} if same else {p: i for i, p in enumerate(ids)}
+        take = min(k, len(ids))
+        for batch in read_batches(path, QUERY_BLOCK):
+            qs = batch.column("q").to_pylist()
+            m = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(qs), width)
+            score = m @ x
+            for i, q in enumerate(qs):
+                if q in index:
+                    score[i, index[q]] = -np.inf
+            kth = -np.partition(-score, take - 1, axis=1)[:, take - 1]
+            at = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
+            if len(at[0]):
+                yield best_of([pd.DataFrame({"q": [qs[i] for i in at[0]], "p": ids[at[1]], "score": score[at]})])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for pdf in batches:
+            kept.append(pdf[[v is not None and len(v) == width for v in pdf["v"]]])
+            if sum(map(len, kept)) >= POINT_BLOCK:
+                block, kept = pd.concat(kept), []
+                yield from compare(block["p"].to_numpy(), np.stack(block["v"].to_numpy()).astype("f8").T)
+        if sum(map(len, kept)):
+            block = pd.concat(kept)
+            yield from compare(block["p"].to_numpy(), np.stack(block["v"].to_numpy()).astype("f8").T)
+
+    found = points.select(F.col(point_id).alias("p"), F.col(vector).alias("v")).mapInPandas(run, f"q {qtype}, p {ptype}, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "p")
     return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 

@@ -8,8 +8,11 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,15 +50,28 @@ def ship(spark: SparkSession) -> None:
     context._pagemill_shipped = True
 
 
+def write_path(df: DataFrame, label: str, codec: str = "zstd") -> str:
+    """Write ``df`` as a Parquet table in the shared folder; gives its path. The table is deleted when the session's Java process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pagemill-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def read_batches(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """A Parquet table of the shared folder in batches of at most ``rows``, as a Python worker reads it."""
+    system, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    for batch in dataset.dataset(name, filesystem=system, format="parquet").to_batches(batch_size=rows):
+        if batch.num_rows:
+            yield batch
+
+
 def write_through(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only tasks that read the table, and the rows (ids made by
     hashing included) are the same for every reader. The table is deleted when the session's Java process ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pagemill-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_path(df, label, codec))
