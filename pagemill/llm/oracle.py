@@ -27,5 +27,23 @@ f AS (
     CASE WHEN cs > reach AND regexp_replace(substring(t, reach + 1, cs - reach), '{_WS}', '', 'g') <> '' THEN 'gap' END,
     CASE WHEN e <> substring(t, s + 1, cs - s) || x THEN 'overlap' END]) AS kind FROM v)
 SELECT id, kind FROM f WHERE kind IS NOT NULL
+""",
+    "p4_found": r"""
+WITH r AS (
+  SELECT DISTINCT 'page' AS kind, document_id || ':' || page_no AS key, text FROM document_pages WHERE text IS NOT NULL
+  UNION SELECT DISTINCT 'chunk', id, text FROM chunks WHERE text IS NOT NULL),
+w AS (SELECT kind, key, row_number() OVER () AS n, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM r),
+s AS (SELECT kind, key, n, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30),
+e AS (SELECT kind, key, n, len(s) AS m, unnest(s) AS t FROM s),
+p AS (SELECT a.key AS key_a, b.key AS key_b, any_value(a.m) + any_value(b.m) AS m, count(*) AS c FROM e a JOIN e b ON a.kind = b.kind AND a.t = b.t AND a.key < b.key GROUP BY a.key, b.key, a.n, b.n)
+SELECT DISTINCT key_a, key_b FROM p WHERE c >= 0.4 * (m - c)
+""",
+    "p6_found": """
+WITH f AS (SELECT vectors_path, min({'model': model, 'dim': dim}) AS f FROM document_embeddings WHERE model IS NOT NULL GROUP BY 1),
+v AS (SELECT f.model AS model, chunk_id, min(dense)::DOUBLE[] AS v FROM vector_rows JOIN f USING (vectors_path)
+      WHERE chunk_id IS NOT NULL AND len(dense) = f.dim AND list_sum(list_transform(dense, lambda x: x::DOUBLE * x)) > 0 GROUP BY 1, 2),
+c AS (SELECT a.chunk_id AS x, b.chunk_id AS y, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v a JOIN v b ON a.model = b.model AND a.chunk_id <> b.chunk_id),
+k AS (SELECT x, y FROM c WHERE s >= 0.9 QUALIFY row_number() OVER (PARTITION BY x ORDER BY s DESC, y) <= 5)
+SELECT least(x, y) AS chunk_a, greatest(x, y) AS chunk_b FROM k GROUP BY 1, 2 HAVING count(*) = 2
 """,
 }
