@@ -109,6 +109,16 @@ def chunk_pages(pages: DataFrame, target: int = TARGET, limit: int = MAX_CHARS,
         "*", F.length("text").alias("n_chars"), F.lit(None).cast("int").alias("n_tokens"))
 
 
+def sentence_counts(pages: DataFrame) -> DataFrame:
+    """document_id, page_no, ends: the number of sentence ends of each page with a text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["document_id", "page_no"]].assign(ends=[len(sentence_ends(t)) for t in pdf["text"]])
+
+    return pages.where("text is not null").select("document_id", "page_no", "text").mapInPandas(run, "document_id string, page_no int, ends long")
+
+
 def usable_pages(pages: DataFrame) -> DataFrame:
     """Pages with a text that passed the validity gate (null counts as not passed)."""
     return pages.where(F.col("text").isNotNull() & F.coalesce("trustworthy", F.lit(False)))

@@ -4,6 +4,7 @@ Left without SQL, and tested against brute force instead: the chunker (a sequent
 different characters of a pair of texts are first mapped to single bytes.
 """
 
+from pagemill.operators.chunking import CLOSERS, OPENERS, TERMINATORS
 from pagemill.operators.stages import STAGES
 
 #: White space as Python's str.isspace sees it, for RE2.
@@ -167,6 +168,7 @@ sw AS (
   FROM cu, (SELECT answerable, best, count(*) AS m FROM s GROUP BY ALL) x, LATERAL (SELECT unnest(range(m))) y GROUP BY cutoff)"""
 
 _PAGE = "document_id, page_no"
+_EVENTS = "".join("\\" + c if c in "[](){}?" else c for c in TERMINATORS + OPENERS + CLOSERS)
 
 _POINTS = f"""
 {_C}, fi AS (SELECT vectors_path, arg_max(model, created_at) AS model, arg_max(dim, created_at) AS dim FROM document_embeddings GROUP BY 1),
@@ -233,6 +235,14 @@ SELECT substring(regexp_replace(font, '^[^+]*\\+', ''), 1, 24) AS font, count(*)
     "paragraph_counts": f"""
 WITH {_P}, s AS (SELECT {_PAGE}, list_filter(regexp_split_to_array(text, '\\n{_WS}*\\n'), lambda x: regexp_matches(x, '{_NWS}')) AS f FROM p WHERE text IS NOT NULL)
 SELECT {_PAGE}, len(f) AS paragraphs, coalesce(list_max(list_transform(f, lambda x: length(x))), 0) AS longest FROM s""",
+    "sentence_ends": f"""
+WITH {_P}, e0 AS (SELECT {_PAGE}, regexp_extract_all(text || ' ', '[{_EVENTS}]{_WS}?') AS t FROM p WHERE text IS NOT NULL),
+e AS (SELECT {_PAGE}, unnest(t) AS t, generate_subscripts(t, 1) AS i FROM e0),
+d AS (SELECT *, CASE WHEN strpos('{OPENERS}', left(t, 1)) > 0 THEN 1 WHEN strpos('{CLOSERS}', left(t, 1)) > 0 THEN -1 ELSE 0 END AS d FROM e),
+c AS (SELECT *, sum(d) OVER (PARTITION BY {_PAGE} ORDER BY i) AS c FROM d),
+m AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY {_PAGE} ORDER BY i)) AS depth FROM c),
+n AS (SELECT {_PAGE}, count(*) AS n FROM m WHERE d = 0 AND depth = 0 AND length(t) = 2 GROUP BY ALL)
+SELECT e0.document_id, e0.page_no, coalesce(n, 0) AS ends FROM e0 LEFT JOIN n USING (document_id, page_no)""",
     "chunk_metrics": f"""
 WITH {_P}, {_C}, own AS (
   SELECT document_id, list(page_no ORDER BY page_no) FILTER (bad) AS skipped, count(*) FILTER (bad) AS pages_skipped

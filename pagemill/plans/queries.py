@@ -153,6 +153,10 @@ def paragraph_counts(spark, d):
     return _pages(spark, d, "text").where("text is not null").select(*_KEYS, F.size(filled).cast("long").alias("paragraphs"), F.coalesce(F.array_max(F.transform(filled, F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
+def sentence_ends(spark, d):
+    return C.sentence_counts(_pages(spark, d, "text"))
+
+
 def chunk_pages(spark, d):
     return C.chunk_pages(C.usable_pages(_pages(spark, d, "text", "trustworthy"))).select("id", "ordinal", "char_start", "char_end", "text", "embed_text", "n_chars")
 
