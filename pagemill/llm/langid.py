@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.encoding import clean
 from pagemill.llm.quality import FEATURES, features, weak_label
+from pagemill.llm.sampling import smallest_hashes
 
 LANGUAGES = ("bn", "en", "hi", "as", "mr")
 #: Spellings of a language label, without case, outer blanks and what follows a hyphen or underscore. Fixed values.
@@ -269,7 +270,7 @@ def fit_profiles(pages: DataFrame, documents: DataFrame, common_words: DataFrame
     for lang, word in rows:
         if label_code(lang) in LANGUAGES:
             common[label_code(lang)].add(word.lower())
-    picked = pages.where("text is not null").select("document_id", "page_no", "text").orderBy(F.xxhash64("document_id", "page_no"), "document_id", "page_no").limit(fit_sample)
+    picked = smallest_hashes(pages.where("text is not null").select("document_id", "page_no", "text"), ["document_id", "page_no"], fit_sample)
     claimed = documents.select(F.col("id").alias("document_id"), "language")
     sample = picked.join(claimed, "document_id", "left").collect()
     profiles = train([(r["text"], c if (c := label_code(r["language"])) in LANGUAGES else None) for r in sample], common)

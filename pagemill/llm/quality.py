@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.encoding import clean
 from pagemill.llm.gbt import BoostedTrees
+from pagemill.llm.sampling import smallest_hashes
 from pagemill.sources.shared import write_through
 
 KINDS = ("prose", "list", "table", "junk")
@@ -191,7 +192,7 @@ def classify_pages(pages: DataFrame, common_words: DataFrame, fit_sample: int =
     """
     common = common_set(common_words)
     stats = write_through(page_statistics(pages, common), "stats")
-    picked = stats.orderBy(F.xxhash64(*_KEYS), *_KEYS).limit(fit_sample).select("f").collect()
+    picked = smallest_hashes(stats, [*_KEYS], fit_sample).select("f").collect()
     model = fit_kinds(np.array([r[0] for r in picked], dtype=float).reshape(len(picked), len(FEATURES)), common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

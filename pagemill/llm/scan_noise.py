@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.encoding import find_spans
 from pagemill.llm.quality import FEATURES, _classes, common_set, features, weak_label
+from pagemill.llm.sampling import smallest_hashes
 from pagemill.sources.shared import write_through
 
 #: Gold pages that the line model is trained on at most (those with the smallest hash of their key), and rounds of training.
@@ -442,7 +443,7 @@ def _joined(pages: DataFrame, facts: DataFrame) -> DataFrame:
 def line_model(pages: DataFrame, facts: DataFrame, gold_pages: DataFrame, fit_sample: int = FIT_SAMPLE) -> LineModel:
     """The line model, trained on at most ``fit_sample`` gold pages; without any the starting weights."""
     keys = ["document_id", "page_no"]
-    gold = gold_pages.where("gold_text is not null").select(*keys, "gold_text").orderBy(F.xxhash64(*keys), *keys).limit(fit_sample)
+    gold = smallest_hashes(gold_pages.where("gold_text is not null").select(*keys, "gold_text"), keys, fit_sample)
     rows = _joined(pages, facts).join(F.broadcast(gold), keys).orderBy(*keys).collect()  # gold has at most fit_sample rows
     return train_lines([(r["raw_text"], r["gold_text"], fact_map(r["facts"]), title_key(r["title"])) for r in rows])
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from pagemill.llm import subjects
+from pagemill.llm.sampling import smallest_hashes
 
 
 def test_every_label_votes(spark, monkeypatch):
@@ -41,3 +42,10 @@ def test_words_beyond_the_sent_lexicon_count_too(spark):
     docs, areas, labels = corpus(spark)
     few, all_ = (sorted(map(tuple, subjects.document_subjects(docs, areas, labels, n).collect())) for n in (3, 100_000))
     assert len(all_) >= 60 and few == all_
+
+
+def test_samples_are_the_rows_with_the_smallest_hashes(spark):
+    df = spark.range(20_000).selectExpr("id as k", "id * 2 as v").repartition(7)
+    plain = df.selectExpr("*", "xxhash64(k) as h").orderBy("h", "k").limit(300)
+    assert [r["k"] for r in smallest_hashes(df, ["k"], 300).collect()] == [r["k"] for r in plain.collect()]
+    assert smallest_hashes(df, ["k"], 30_000).count() == 20_000 and smallest_hashes(df.limit(0), ["k"], 5).count() == 0
