@@ -75,12 +75,13 @@ def document_hold(gated: DataFrame) -> DataFrame:
     (how many pages failed and the first 8 of them; null when none) and note (the same, or how many passed and the first 5 pages that Latin words intrude on).
     """
     bad = ~F.col("trustworthy")
-    counts = gated.groupBy("document_id").agg(
+    kind = F.when(bad, "failed").when(F.col("latin_suspect"), "latin").otherwise("good")
+    order = F.row_number().over(Window.partitionBy("document_id", "kind").orderBy("page_no"))
+    listed = lambda name, most: F.array_sort(F.collect_list(F.when((F.col("kind") == name) & (F.col("n") <= most), F.col("page_no"))))
+    # the gate is worked out once; of a document only the page numbers that are listed come together
+    out = gated.withColumn("kind", kind).withColumn("n", order).groupBy("document_id").agg(
         F.count("*").alias("pages"), F.sum(F.col("trustworthy").cast("long")).alias("trustworthy"), F.sum(bad.cast("long")).alias("failed"),
-        F.sum("chars").alias("total_chars"), F.sum(F.col("latin_suspect").cast("long")).alias("latin_suspect"))
-    failed = first_pages(gated.where(bad), 50).withColumnRenamed("first_pages", "failed_pages")
-    latin = first_pages(gated.where("latin_suspect"), 5).withColumnRenamed("first_pages", "latin_pages")
-    out = counts.join(failed, "document_id", "left").join(latin, "document_id", "left").withColumn("failed_pages", F.coalesce("failed_pages", F.array().cast("array<int>")))
+        F.sum("chars").alias("total_chars"), F.sum(F.col("latin_suspect").cast("long")).alias("latin_suspect"), listed("failed", 50).alias("failed_pages"), listed("latin", 5).alias("latin_pages"))
     held = F.col("failed") > 0
     numbers = lambda c: F.array_join(c, ", ")
     review = F.concat(F.col("failed").cast("string"), F.lit(" page(s) failed the text check (pages "), numbers(F.slice("failed_pages", 1, 8)), F.lit(")"))
