@@ -29,6 +29,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(products, F.lit(0.0), lambda s, p: s + p))
 
 
+def unsigned_zeros(v: Column) -> Column:
+    """The vector with 0.0 for every -0.0, so that equal vectors are the same bytes. The width of its numbers stays."""
+    return F.transform(v, lambda x: F.when(x == 0, F.lit(0).cast("float")).otherwise(x))
+
+
 def l2(v: Column) -> Column:
     """The vector at unit length; a zero vector stays as it is."""
 

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.hashing import dot, uuid5
+from pagemill.functions.hashing import dot, unsigned_zeros, uuid5
 from pagemill.plugins import Reranker
 from pagemill.sources.shared import read_batches, write_path
 
@@ -52,14 +52,19 @@ def delete_document(points: DataFrame, document_id: str) -> DataFrame:
 def build_points(vectors: DataFrame, chunks: DataFrame, embeddings: DataFrame, documents: DataFrame) -> DataFrame:
     """Points with their payload: the vectors of known chunks joined to chunk, file and document. One row per chunk: duplicate deliveries are taken once.
 
-    The wide sides (vectors, chunks) meet once on the chunk id, after each was reduced to one row per key.
+    A file's model and dim are each the latest one stated with a date. A chunk's vector is its last one by file and row (a row without a number is the last of its file), its model that of its
+    last vector of a known model. Zeros of ``dense`` have no sign. The wide sides (vectors, chunks) meet once on the chunk id, after each was reduced to one row per key.
     """
-    files = embeddings.groupBy("vectors_path").agg(F.max(F.struct("created_at", "model", "dim")).alias("f")).select("vectors_path", "f.model", "f.dim")
-    v = vectors.join(files, "vectors_path").where("size(dense) = dim").groupBy("chunk_id").agg(F.max(F.struct("vectors_path", "row_no", "dense", "model")).alias("v")).select("chunk_id", "v.dense", "v.model")
+
+    def last(value: str, *order: str | Column) -> Column:
+        return F.max(F.when(F.col(value).isNotNull(), F.struct(*order)))[value].alias(value)
+
+    files = embeddings.where("created_at is not null").groupBy("vectors_path").agg(*[last(x, "created_at", "model", "dim") for x in ("model", "dim")])
+    v = vectors.join(files, "vectors_path").where("size(dense) = dim").groupBy("chunk_id").agg(*[last(x, "vectors_path", F.col("row_no").isNull(), "row_no", x) for x in ("dense", "model")])
     c = chunks.groupBy("id").agg(F.max(F.struct("created_at", "document_id", "page_no", "ordinal", "char_start", "char_end", "text")).alias("c")).select(F.col("id").alias("chunk_id"), "c.*").drop("created_at")
     d = documents.select(F.col("id").alias("document_id"), "filename", "language")
     return v.join(c, "chunk_id").join(d, "document_id", "left").select(
-        uuid5(F.col("chunk_id")).alias("point_id"), "dense", "chunk_id", "document_id", "filename", "language", "page_no", "ordinal", "char_start", "char_end", "text", "model")
+        uuid5(F.col("chunk_id")).alias("point_id"), unsigned_zeros(F.col("dense")).alias("dense"), "chunk_id", "document_id", "filename", "language", "page_no", "ordinal", "char_start", "char_end", "text", "model")
 
 
 def index_checks(vectors: DataFrame, embeddings: DataFrame, chunks: DataFrame) -> DataFrame:

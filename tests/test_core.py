@@ -296,6 +296,27 @@ def test_points(points):
     assert retrieval.delete_document(points, "docA").count() == 5
 
 
+@pytest.fixture
+def sources(spark):
+    """Vectors, chunks, embeddings and documents of build_points with signed zeros and missing values."""
+    day = [datetime(2024, 1, i) for i in range(1, 4)]
+    vectors = [("f", 0, "a", [-0.0, 0.5]), ("f", 1, "b", [0.25, 0.0]), ("f", None, "b", [-0.0, None]), ("f", 2, "c", [1.0]), ("g", 0, "c", [-0.5, -0.0]), ("h", 0, "d", [1.0, 1.0]), ("f", 3, "e", [-0.0, 1.0])]
+    embeddings = [("f", "old", 2, day[0]), ("f", "m", None, day[1]), ("f", None, 2, day[2]), ("f", "undated", 1, None), ("g", None, 2, day[0]), ("h", "m", 2, None)]
+    chunks = [(c, "docB" if c == "e" else "docA", 1, 0, 0, 5, "t", day[0]) for c in "abcde"]
+    return (
+        spark.createDataFrame(vectors, "vectors_path string, row_no int, chunk_id string, dense array<float>"),
+        spark.createDataFrame(chunks, "id string, document_id string, page_no int, ordinal int, char_start int, char_end int, text string, created_at timestamp_ntz"),
+        spark.createDataFrame(embeddings, "vectors_path string, model string, dim int, created_at timestamp_ntz"),
+        spark.createDataFrame([("docA", "x.pdf", "bn"), ("docB", "y.pdf", "bn")], "id string, filename string, language string"))
+
+
+def test_built_points_have_unsigned_zeros_and_the_last_known_values(sources):
+    built = retrieval.build_points(*sources)
+    assert dict(built.dtypes)["dense"] == "array<float>"
+    got = {r["chunk_id"]: (str(list(r["dense"])), r["model"]) for r in built.collect()}
+    assert got == {"a": ("[0.0, 0.5]", "m"), "b": ("[0.0, None]", "m"), "c": ("[-0.5, 0.0]", None), "e": ("[0.0, 1.0]", "m")}
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string")
     rows = [r["dense"] for r in HashedEmbedder(16).embed(df, "t").collect()]
