@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import hashing, script, tokens
 from pagemill.operators import answering, chunking, ocrbench, pages, retrieval, stages
+from pagemill.plans import queries
 from pagemill.plugins import CrossEncoder, HashedEmbedder, ModelEmbedder, Passthrough, embedder
 from pagemill.sources import files
 from pagemill.streaming import stage_log
@@ -317,6 +318,13 @@ def test_built_points_have_unsigned_zeros_and_the_last_known_values(sources):
     assert got == {"a": ("[0.0, 0.5]", "m"), "b": ("[0.0, None]", "m"), "c": ("[-0.5, 0.0]", None), "e": ("[0.0, 1.0]", "m")}
 
 
+def test_points_left_after_a_deletion_have_unsigned_zeros(spark, sources, tmp_path):
+    for name, table in zip(("vector_rows", "chunks", "document_embeddings", "documents"), sources):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    left = queries.delete_document(spark, str(tmp_path)).collect()
+    assert [(r["chunk_id"], r["document_id"], str(list(r["dense"]))) for r in left] == [("e", "docB", "[0.0, 1.0]")]
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string")
     rows = [r["dense"] for r in HashedEmbedder(16).embed(df, "t").collect()]
